@@ -70,7 +70,7 @@ def _bucket_join(payload: Sequence[str], out: pa.Schema):
             db.register("known", v.select(["__key"]))
             kept = [f'e."{c}"' for c in events.column_names if not c.startswith("__")]
             return db.sql(
-                f"SELECT {', '.join(kept + [f's."{c}"' for c in payload])}, e.__key IN (SELECT __key FROM known) AS __known FROM events e ASOF LEFT JOIN states s ON e.__shard = s.__shard AND e.__key = s.__key AND e.__t >= s.__at"
+                f"SELECT {', '.join(kept + [f's."{c}"' for c in payload])}, coalesce(e.__key IN (SELECT __key FROM known), false) AS __known FROM events e ASOF LEFT JOIN states s ON e.__shard = s.__shard AND e.__key = s.__key AND e.__t >= s.__at"
             ).to_arrow_table().cast(out)
 
     return run

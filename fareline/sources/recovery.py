@@ -71,7 +71,7 @@ class Grammar:
     """Recursive descent over one text; ``width`` and ``anchor`` validate a record start."""
 
     def __init__(self, text: str, width: int, anchor: re.Pattern[str]):
-        self.text, self.width, self.anchor, self.at = text, width, anchor, 0
+        self.text, self.width, self.anchor, self.at, self.field_at = text, width, anchor, 0, 0
         self.error: tuple[int, str] | None = None
 
     def file(self) -> list[Record]:
@@ -92,6 +92,7 @@ class Grammar:
         return Record(values, begin, self.error)
 
     def field(self) -> str:
+        self.field_at = self.at
         return self.quoted() if self.text.startswith('"', self.at) else self.bare()
 
     def quoted(self) -> str:
@@ -121,8 +122,12 @@ class Grammar:
         self.at += 2 if self.text.startswith("\r\n", self.at) else 1
 
     def resume(self) -> None:
-        """To the first break at or after the error before a validated record start, else the end."""
-        for found in _BREAK.finditer(self.text, self.error[0]):
+        """To the first break in or after the broken field before a validated record start, else the end.
+
+        A quote that is not meant to open swallows records up to the next one, so the search begins at the
+        field and not where the error showed.
+        """
+        for found in _BREAK.finditer(self.text, self.field_at):
             if self.anchor.match(self.text, found.end()) and self.is_record(found.end()):
                 self.at = found.start()
                 return
