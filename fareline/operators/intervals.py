@@ -2,12 +2,14 @@
 
 Time is cut into exact units and these into shards. Per entity and shard two bitmaps are kept: units covered
 by anything, and units covered by two different sources. They travel as run lists (start, length, ...), are
-united as integers, and set and clear runs are read off them.
+united as integers, and set and clear runs are read off them. An interval without end fills the rest of its
+shard and marks the next one as the first that it covers whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +17,13 @@ from pyspark.sql import functions as F
 
 #: Units in a shard.
 SHARD = 1024
+#: Bitmaps that a task gathers before it passes them on.
+HELD = 200_000
+
+_LOCAL = "entity string, source string, shard long, covered array<int>, tail boolean"
+_UNITED = "entity string, shard long, covered array<int>, twice array<int>, tails int"
+_PERIODS = "entity string, lo bigint, hi bigint, shared boolean, next_lo bigint"
+_RUNS = pa.list_(pa.int32())
 
 
 def to_bits(runs: list[int]) -> int:
@@ -42,70 +51,137 @@ def unite(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
     return a[0] | b[0], a[1] | b[1] | (a[0] & b[0])
 
 
-_PART = pa.schema([("entity", pa.string()), ("shard", pa.int32()), ("covered", pa.list_(pa.int32())), ("twice", pa.list_(pa.int32()))])
-
+def _batches(rows: Iterable[tuple], types: list[pa.DataType], names: str) -> Iterator[pa.RecordBatch]:
+    columns = [x.split()[0] for x in names.split(", ")]
+    held: list[tuple] = []
 
-def _shard_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All intervals of an (entity, source) come to one task, so what the tasks hold has no source in common."""
-    own: dict[tuple[str, int, str], int] = {}
-    for batch in batches:
-        for entity, source, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
-            for shard in range(lo // SHARD, (hi - 1) // SHARD + 1):
-                a, b = max(lo - shard * SHARD, 0), min(hi - shard * SHARD, SHARD)
-                key = (entity, shard, source)
-                own[key] = own.get(key, 0) | ((1 << (b - a)) - 1) << a
-    both: dict[tuple[str, int], tuple[int, int]] = {}
-    for (entity, shard, _), bits in own.items():
-        both[entity, shard] = unite(both.get((entity, shard), (0, 0)), (bits, 0))
-    rows = list(both.items())
-    for i in range(0, len(rows), 10_000):
-        part = rows[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([to_runs(v[0]) for _, v in part], _PART.field(2).type), pa.array([to_runs(v[1]) for _, v in part], _PART.field(3).type)], schema=_PART)
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(types)], names=columns)
+        held.clear()
+        return batch
 
+    for row in rows:
+        held.append(row)
+        if len(held) >= 10_000:
+            yield flush()
+    yield flush()
 
-def _periods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by entity and shard: one list of periods (start, end, shared) per entity."""
-    entity, periods, shard, now = None, [], None, (0, 0)
-    out: list[tuple[str, int, int, bool, int | None]] = []
 
-    def close_shard() -> None:
-        covered, twice = now
+def _local_bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps per entity, source and shard of the rows of a task, before any shuffle."""
+
+    def rows() -> Iterator[tuple]:
+        own: dict[tuple[str, str, int], int] = defaultdict(int)
+        tails: set[tuple[str, str, int]] = set()
+
+        def emit() -> Iterator[tuple]:
+            for key, bits in own.items():
+                yield (*key, to_runs(bits), False)
+            for key in tails:
+                yield (*key, [], True)
+            own.clear()
+            tails.clear()
+
+        for batch in batches:
+            for entity, source, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+                first = lo // SHARD
+                if hi is None:
+                    tails.add((entity, source, first + 1))
+                    hi = (first + 1) * SHARD
+                for shard in range(first, (hi - 1) // SHARD + 1):
+                    a, b = max(lo - shard * SHARD, 0), min(hi - shard * SHARD, SHARD)
+                    own[entity, source, shard] |= ((1 << (b - a)) - 1) << a
+                if len(own) + len(tails) > HELD:
+                    yield from emit()
+        yield from emit()
+
+    yield from _batches(rows(), [pa.string(), pa.string(), pa.int64(), _RUNS, pa.bool_()], _LOCAL)
+
+
+def _unite_sources(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All bitmaps of an (entity, source) come to one task, so what the tasks yield has no source in common."""
+    own: dict[tuple[str, str], dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    tails: dict[tuple[str, str], int] = {}
+    for batch in batches:
+        for entity, source, shard, covered, tail in zip(*(c.to_pylist() for c in batch.columns)):
+            if tail:
+                tails[entity, source] = min(shard, tails.get((entity, source), shard))
+            else:
+                own[entity, source][shard] |= to_bits(covered)
+    both: dict[tuple[str, int], tuple[int, int]] = {}
+    begun: dict[tuple[str, int], int] = defaultdict(int)
+    for (entity, source), shards in own.items():
+        end = tails.get((entity, source))
+        for shard, bits in shards.items():
+            if end is None or shard < end:
+                both[entity, shard] = unite(both.get((entity, shard), (0, 0)), (bits, 0))
+        if end is not None:
+            begun[entity, end] += 1
+    keys = both.keys() | begun.keys()
+    rows = ((e, s, to_runs((x := both.get((e, s), (0, 0)))[0]), to_runs(x[1]), begun.get((e, s), 0)) for e, s in keys)
+    yield from _batches(rows, [pa.string(), pa.int64(), _RUNS, _RUNS, pa.int32()], _UNITED)
+
+
+class _Periods:
+    """The periods of one entity, from its shards in order."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[int, int, bool]] = []
+        self.shard: int | None = None
+        self.now, self.begun, self.open = (0, 0), 0, 0
+
+    def add(self, shard: int, pair: tuple[int, int], tails: int) -> None:
+        if shard != self.shard:
+            self.close()
+            if self.open and self.found and self.shard is not None and shard > self.shard + 1:
+                lo, _, shared = self.found[-1]
+                self.found[-1] = (lo, shard * SHARD, shared or self.open > 1)
+            self.shard = shard
+        self.now = unite(self.now, pair)
+        self.begun += tails
+
+    def close(self) -> None:
+        if self.shard is None:
+            return
+        self.open += self.begun
+        covered, twice = self.now
+        full = (1 << SHARD) - 1
+        if self.open:
+            covered, twice = full, full if self.open > 1 else twice | covered
         runs = to_runs(covered)
         for i in range(0, len(runs), 2):
             a, n = runs[i], runs[i + 1]
             shared = (twice >> a) & ((1 << n) - 1) != 0
-            lo, hi = shard * SHARD + a, shard * SHARD + a + n
-            if periods and periods[-1][1] == lo:
-                periods[-1] = (periods[-1][0], hi, periods[-1][2] or shared)
+            lo, hi = self.shard * SHARD + a, self.shard * SHARD + a + n
+            if self.found and self.found[-1][1] == lo:
+                self.found[-1] = (self.found[-1][0], hi, self.found[-1][2] or shared)
             else:
-                periods.append((lo, hi, shared))
+                self.found.append((lo, hi, shared))
+        self.now, self.begun = (0, 0), 0
 
-    def close_entity() -> None:
-        close_shard()
-        for i, (lo, hi, shared) in enumerate(periods):
-            out.append((entity, lo, hi, shared, periods[i + 1][0] if i + 1 < len(periods) else None))
-        periods.clear()
+    def rows(self, entity: str) -> Iterator[tuple]:
+        self.close()
+        last = len(self.found) - 1
+        for i, (lo, hi, shared) in enumerate(self.found):
+            yield entity, lo, None if self.open and i == last else hi, shared, self.found[i + 1][0] if i < last else None
 
-    def flush() -> pa.RecordBatch:
-        names = [("entity", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("shared", pa.bool_()), ("next_lo", pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(names)], schema=pa.schema(names))
 
-    for batch in batches:
-        for e, s, covered, twice in zip(*(c.to_pylist() for c in batch.columns)):
-            if e != entity:
-                if entity is not None:
-                    close_entity()
-                entity, shard, now = e, s, (0, 0)
-            elif s != shard:
-                close_shard()
-                shard, now = s, (0, 0)
-            now = unite(now, (to_bits(covered), to_bits(twice)))
-        if len(out) > 10_000:
-            yield flush()
-            out.clear()
-    if entity is not None:
-        close_entity()
-    yield flush()
+def _periods(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by entity and shard."""
+
+    def rows() -> Iterator[tuple]:
+        entity, state = None, _Periods()
+        for batch in batches:
+            for e, shard, covered, twice, tails in zip(*(c.to_pylist() for c in batch.columns)):
+                if e != entity:
+                    if entity is not None:
+                        yield from state.rows(entity)
+                    entity, state = e, _Periods()
+                state.add(shard, (to_bits(covered), to_bits(twice)), tails)
+        if entity is not None:
+            yield from state.rows(entity)
+
+    yield from _batches(rows(), [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()], _PERIODS)
 
 
 def continuous_periods(intervals: DataFrame) -> DataFrame:
@@ -113,17 +189,14 @@ def continuous_periods(intervals: DataFrame) -> DataFrame:
 
     intervals: entity string, source string, lo bigint, hi bigint (exclusive; null = no end), in whole units.
     shared: two different sources share a unit of the period. next_lo: start of the entity's next period, so
-    [hi, next_lo) is a gap; null after the last. open: the period has no end. Rows with a null entity or
-    lo, or that cover no unit, are left out; a null source is a source like any other.
+    [hi, next_lo) is a gap; null after the last. open: the period has no end (hi is null). Rows with a null
+    entity or lo, or that cover no unit, are left out; a null source is a source like any other.
 
-    Skew: intervals are shuffled by entity and source, so an entity with a third of all rows is united in
-    every task; only one pair of run bitmaps per task, entity and shard is shuffled again.
+    Skew: rows become bitmaps before the first shuffle, which is by entity and source, so an entity with a
+    third of all rows is united in every task; the second shuffle carries one pair of bitmaps per task,
+    entity and shard. An interval costs a bitmap for each shard it overlaps.
     """
-    rows = intervals.where("entity is not null and lo is not null and (hi is null or hi > lo)").select("entity", F.coalesce("source", F.lit("\0")).alias("source"), "lo", "hi").distinct()
-    # an open interval ends a unit beyond all bounds of its entity, which no other reaches
-    bound = rows.groupBy("entity").agg((F.max(F.greatest("lo", F.coalesce("hi", "lo"))) + 2).alias("horizon"), F.max(F.col("hi").isNull()).alias("__any_open"))
-    open_only = bound.where("__any_open").select("entity", "horizon")
-    bounded = rows.where("hi is not null").unionByName(rows.where("hi is null").join(open_only, "entity").select("entity", "source", "lo", F.col("horizon").alias("hi")))
-    parts = bounded.repartition("entity", "source").mapInArrow(_shard_bitmaps, "entity string, shard int, covered array<int>, twice array<int>")
-    merged = parts.repartition("entity").sortWithinPartitions("entity", "shard").mapInArrow(_periods, "entity string, lo bigint, hi bigint, shared boolean, next_lo bigint")
-    return merged.join(open_only, "entity", "left").select("entity", "lo", "hi", "shared", "next_lo", F.coalesce(F.col("hi") == F.col("horizon"), F.lit(False)).alias("open"))
+    rows = intervals.where("entity is not null and lo is not null and (hi is null or hi > lo)").select("entity", F.coalesce("source", F.lit("\0")).alias("source"), "lo", "hi")
+    united = rows.mapInArrow(_local_bitmaps, _LOCAL).repartition("entity", "source").mapInArrow(_unite_sources, _UNITED)
+    merged = united.repartition("entity").sortWithinPartitions("entity", "shard").mapInArrow(_periods, _PERIODS)
+    return merged.withColumn("open", F.col("hi").isNull())

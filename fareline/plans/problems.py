@@ -181,8 +181,9 @@ def schedule_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = schedule_periods(spark, sf_dir).withColumn("k", F.split("entity", SEP))
-    merged = p.where("shared").select("k", F.lit("merged").alias("kind"), "lo", "hi", "open")
-    gaps = p.where("next_lo is not null").select("k", F.lit("gap").alias("kind"), F.col("hi").alias("lo"), F.col("next_lo").alias("hi"), F.lit(False).alias("open"))
+    merged = F.when(F.col("shared"), F.struct(F.lit("merged").alias("kind"), F.col("lo").alias("a"), F.col("hi").alias("b")))
+    gap = F.when(F.col("next_lo").isNotNull(), F.struct(F.lit("gap").alias("kind"), F.col("hi").alias("a"), F.col("next_lo").alias("b")))
+    found = p.select("k", F.inline(F.array_compact(F.array(merged, gap))))
     axis = F.col("k")[0]
 
     def day(x: Column) -> Column:
@@ -195,8 +196,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.nullif(F.col("k")[i], F.lit("\x00"))
 
     by_day = axis == "days"
-    to = F.when(by_day, F.when(F.col("open"), "").otherwise(day(F.col("hi") - 1))).otherwise(clock(F.col("hi")))
-    return merged.unionByName(gaps).select(axis.alias("axis"), F.col("k")[1].alias("route_id"), null(2).alias("service_id"), null(3).cast("int").alias("direction"), null(4).alias("sub_key"), "kind", F.when(by_day, day(F.col("lo"))).otherwise(clock(F.col("lo"))).alias("from_key"), to.alias("to_key"))
+    to = F.when(by_day, F.coalesce(day(F.col("b") - 1), F.lit(""))).otherwise(clock(F.col("b")))
+    return found.select(axis.alias("axis"), F.col("k")[1].alias("route_id"), null(2).alias("service_id"), null(3).cast("int").alias("direction"), null(4).alias("sub_key"), "kind", F.when(by_day, day(F.col("a"))).otherwise(clock(F.col("a"))).alias("from_key"), to.alias("to_key"))
 
 
 # ---- 6: implausible spikes
