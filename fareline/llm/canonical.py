@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fareline.session import checkpoint
+
 # Letters of other scripts and the Latin letters they look like, position by position.
 CYRILLIC = "аеорсухіјѕһԁԛԝѵАВЕКМНОРСТУХІЈЅԚԜ"
 CYRILLIC_AS = "aeopcyxijshdqwvABEKMHOPCTYXIJSQW"
@@ -133,8 +135,10 @@ def look_alike_pairs(classes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key_1, key_2), smaller first: rows whose texts differ but have one form.
 
     Texts that are equal are counted before any shuffle of rows; only classes with different texts are joined,
-    text against text and then with their rows, so equal rows are never paired with each other.
+    text against text and then with their rows, so equal rows are never paired with each other. The
+    fingerprints are kept in shared storage, so every text is read once.
     """
+    classes = checkpoint(classes)
     texts = classes.groupBy("form_id", "text_id").agg(F.count(F.lit(1)).alias("n"))
     several = texts.groupBy("form_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("form_id")
     members = classes.join(several, "form_id", "left_semi").distinct()
