@@ -76,14 +76,15 @@ def _bucket_join(payload: Sequence[str], out: pa.Schema):
     return run
 
 
-def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, start: str, order: Sequence[str], payload: Sequence[str], end: str | None = None, known: str | None = None, max_rows: int = 250_000) -> DataFrame:
+def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, start: str, order: Sequence[str], payload: Sequence[str], end: str | None = None, known: str | None = None, max_rows: int = 250_000, hot: tuple[int, dict[str, int]] | None = None) -> DataFrame:
     """Each event with the ``payload`` columns of the version in force at ``events[at]``.
 
     key: text column of both sides. at, start, end: bigint columns on one scale; a version is available from
     start up to end (exclusive; null or absent = for ever). order: of several the version with the greatest
     tuple counts. known: name of an added boolean, whether the key has any version. Events with a null key or
     time get nulls; versions with a null key or start never apply. Empty inputs give empty or null results.
-    Payload names must not occur among the events' columns (ValueError).
+    Payload names must not occur among the events' columns (ValueError). ``hot``: the result of ``hot_keys`` for
+    the key, if it was counted before.
 
     Skew: entities with over max_rows events are split into time shards at approximate quantiles of their own
     events. An open version goes to its own shard and, if it is the best of those that began earlier, to each
@@ -95,11 +96,11 @@ def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, s
     e = events.withColumns({"__key": F.col(key), "__t": F.col(at)})
     v = versions.select(F.col(key).alias("__key"), F.col(start).alias("__start"), (F.col(end) if end else F.lit(None)).cast("long").alias("__end"), F.struct(*order).alias("__order"), *payload)
     v = v.where("__key is not null and __start is not null and (__end is null or __end > __start)")
-    total, hot = hot_keys(e, "__key", max_rows)
-    if not hot:
+    total, counts = hot or hot_keys(e, "__key", max_rows)
+    if not counts:
         e, v = e.withColumn("__shard", F.lit(0)), v.withColumn("__shard", F.lit(0))
     else:
-        e, v = _time_shards(e, v, hot, max(max_rows, total // 4096), payload)
+        e, v = _time_shards(e, v, counts, max(max_rows, total // 4096), payload)
     n = max(shuffle_partitions(spark), -(-total // max_rows))
     bucket = F.pmod(F.xxhash64("__key", "__shard"), F.lit(n)).alias("__b")
     fields = [*events.schema.fields, *(versions.schema[c] for c in payload)]

@@ -9,12 +9,14 @@ from fareline.operators.asof import state_asof_join
 from fareline.operators.intervals import continuous_periods
 from fareline.operators.orphans import orphan_references, parent_keys
 from fareline.operators.rolling import rolling_totals
-from fareline.operators.skew import skew_join
+from fareline.operators.skew import hot_keys, hot_keys_of, skew_join
 from fareline.operators.spikes import implausible_readings
-from fareline.session import table
+from fareline.session import checkpoint, table
 from fareline.sources.recovery import Contract, is_decimal, is_int32, is_moment, parse_lines, split_failed, typed
 
 SEP = "\x1f"
+#: Events of one key in a task; a key with more is split.
+MAX_ROWS = 250_000
 
 
 def text_key(*columns: str) -> Column:
@@ -36,27 +38,29 @@ def trips_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     schedule_known and vehicle_known tell whether the references exist at all.
     """
     columns = ["trip_id", "schedule_id", "vehicle_id", "service_date", "scheduled_departure"]
-    trips = table(spark, sf_dir, "trips")
-    trips = trips.select(*columns, F.xxhash64(*trips.columns).alias("row_hash")).distinct()
+    raw = table(spark, sf_dir, "trips")
+    trips = raw.select(*columns, F.xxhash64(*raw.columns).alias("row_hash")).distinct()
     schedules = table(spark, sf_dir, "schedules").select("schedule_id", "route_id", "service_id", "direction", "period", "valid_from", "valid_to").distinct()
     schedules = schedules.withColumn("line", text_key("route_id", "service_id", "direction", "period"))
     named = schedules.where("schedule_id is not null and schedule_id != ''").groupBy("schedule_id").agg(F.min("line").alias("line"))
-    events = skew_join(trips, named, "schedule_id", "left", spread=F.xxhash64("trip_id"))
-    versions = schedules.select("line", F.col("schedule_id").alias("schedule_in_force"), "valid_from", F.unix_date("valid_from").cast("long").alias("start"), F.when(F.col("valid_to").isNotNull(), F.unix_date("valid_to").cast("long") + 1).alias("end"))
-    joined = state_asof_join(events.withColumn("day", F.unix_date("service_date").cast("long")), versions, "line", "day", "start", ["valid_from", "schedule_in_force"], ["schedule_in_force"], end="end", known="schedule_known")
+    joined = skew_join(trips, named, "schedule_id", "left", spread=F.xxhash64("trip_id"), hot=hot_keys(raw, "schedule_id", MAX_ROWS))
     # effective_from <= service_date and recorded_at <= scheduled_departure on one axis: effective_from is
     # moved by the days from service_date to the departure's date, once for each such distance of a vehicle
     lag = F.datediff(F.col("scheduled_departure").cast("date"), "service_date")
     named_vehicle = F.col("vehicle_id").isNotNull() & (F.col("vehicle_id") != "")
-    events = joined.withColumn("lag", F.coalesce(lag, F.lit(0))).withColumns({"carrier": F.when(named_vehicle, text_key("vehicle_id", "lag")), "moment": F.when(lag.isNotNull(), micros("scheduled_departure"))})
+    events = joined.withColumn("lag", F.coalesce(lag, F.lit(0))).withColumns({"day": F.unix_date("service_date").cast("long"), "carrier": F.when(named_vehicle, text_key("vehicle_id", "lag")), "moment": F.when(lag.isNotNull(), micros("scheduled_departure"))})
+    events = checkpoint(events)  # read for the counts, the distances and the join
+    by_line, by_carrier = hot_keys_of(events, ["line", "carrier"], MAX_ROWS)
+    versions = schedules.select("line", F.col("schedule_id").alias("schedule_in_force"), "valid_from", F.unix_date("valid_from").cast("long").alias("start"), F.when(F.col("valid_to").isNotNull(), F.unix_date("valid_to").cast("long") + 1).alias("end"))
+    scheduled = state_asof_join(events, versions, "line", "day", "start", ["valid_from", "schedule_in_force"], ["schedule_in_force"], end="end", max_rows=MAX_ROWS, hot=by_line)
     vehicles = table(spark, sf_dir, "vehicles").select("vehicle_id", "version_id", "capacity_total", "effective_from", "recorded_at").distinct()
     order = ["effective_from", "recorded_at", "version_id"]
     last = vehicles.groupBy("vehicle_id").agg(F.max_by("version_id", F.struct(*order)).alias("last_version"))
-    lags = events.where(named_vehicle).select("vehicle_id", "lag").distinct()
+    lags = events.where("carrier is not null").select("vehicle_id", "lag").distinct()
     states = vehicles.join(last, "vehicle_id").join(lags, "vehicle_id")
     available = F.greatest(micros("recorded_at"), F.unix_micros(F.date_add("effective_from", F.col("lag")).cast("timestamp")))
     states = states.where("effective_from is not null and recorded_at is not null").select(text_key("vehicle_id", "lag").alias("carrier"), available.alias("start"), *order, F.col("version_id").alias("version_in_force"), "capacity_total", "last_version")
-    out = state_asof_join(events, states, "carrier", "moment", "start", order, ["version_in_force", "capacity_total", "last_version"], known="vehicle_known")
+    out = state_asof_join(scheduled, states, "carrier", "moment", "start", order, ["version_in_force", "capacity_total", "last_version"], known="vehicle_known", max_rows=MAX_ROWS, hot=by_carrier)
     return out.select(*columns, "schedule_in_force", "version_in_force", "capacity_total", "last_version", F.col("line").isNotNull().alias("schedule_known"), "vehicle_known")
 
 
