@@ -1,26 +1,26 @@
 """References to records that are missing, deleted or arrive later.
 
-A Bloom filter of the parent keys is broadcast. A reference it rejects is a definite orphan and never
-shuffled; only the references it lets pass are verified by an exact join. Filters of deleted keys spare the
-tombstone join in the same way.
+A Bloom filter of the parent keys, deleted ones included, is broadcast. A reference it rejects is a definite
+orphan and never shuffled; only the references it lets pass are verified by an exact join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareline.operators.skew import skew_join
+from fareline.operators.skew import hot_keys, skew_join
 
 #: Bits of a filter at most (16 MB); beyond that many keys more references pass and are verified.
 MAX_BITS = 2**27
 BITS_PER_KEY = 12
 HASHES = 4
-#: Parents of at most so many keys, as counted, are broadcast for the exact join; others are shuffled.
+#: Parents of at most so many rows, as counted, are broadcast for the exact join; others are shuffled.
 BROADCAST_KEYS = 50_000
 
 
@@ -60,34 +60,46 @@ def might_contain(spark, words: np.ndarray):
     return lambda key: probe(*_slot_hashes(key))
 
 
-def parent_keys(parents: DataFrame, key: str, seen_at: str | None) -> DataFrame:
-    """(key, first_seen), once per non-empty key; first_seen is null without ``seen_at``."""
-    seen = F.min(seen_at) if seen_at else F.lit(None).cast("timestamp_ntz")
-    return parents.where(f"`{key}` is not null and `{key}` != ''").groupBy(F.col(key).alias("key")).agg(seen.alias("first_seen"))
+@dataclass(frozen=True)
+class Parents:
+    """What is known of the keys of a parent table: a row (key, first_seen, listed, gone_at) per key, an upper
+    bound of the rows, and the filter's function of a key column."""
 
+    facts: DataFrame
+    bound: int
+    may_know: Callable[[Column], Column]
 
-def orphan_references(references: DataFrame, parents: DataFrame, deleted: DataFrame, max_rows: int = 250_000) -> DataFrame:
+
+def parents_of(table: DataFrame, key: str, seen_at: str | None, deleted: DataFrame) -> Parents:
+    """``deleted``: (key, deleted_at). Keys of both are in the filter, so a key it rejects is neither listed
+    nor deleted. first_seen is null without ``seen_at``. Null and empty keys are none."""
+    seen = F.col(seen_at) if seen_at else F.lit(None).cast("timestamp_ntz")
+    listed = table.select(F.col(key).alias("key"), seen.alias("first_seen"), F.lit(True).alias("listed"))
+    both = listed.unionByName(deleted.where("deleted_at is not null").select("key", F.col("deleted_at").alias("gone_at")), allowMissingColumns=True)
+    facts = both.where("key is not null and key != ''").groupBy("key").agg(F.min("first_seen").alias("first_seen"), F.max("listed").alias("listed"), F.min("gone_at").alias("gone_at"))
+    bound = table.count() + deleted.count()
+    return Parents(facts, bound, might_contain(table.sparkSession, build_filter(facts, "key", bound)))
+
+
+def orphan_references(references: DataFrame, parents: Parents, max_rows: int = 250_000) -> DataFrame:
     """The references that fail, with the first reason that applies.
 
     references: columns key, at (a timestamp, or null: no time, any deletion counts and nothing is late)
-    and what else is to be kept. parents: (key, first_seen) from ``parent_keys``. deleted: (key, deleted_at).
-    Adds reason: 'deleted' (deleted at or before ``at``), 'missing', 'late' (first seen after ``at``). Null
-    and empty keys are no references. Repeated references come out as often as they go in.
+    and what else is to be kept. Adds reason: 'deleted' (deleted at or before ``at``), 'missing', 'late'
+    (first seen after ``at``). Null and empty keys are no references. Repeated references come out as
+    often as they go in. Names of ``Parents.facts`` among the kept columns are refused (ValueError).
     """
-    spark = references.sparkSession
+    if clash := {"first_seen", "listed", "gone_at", "reason"} & set(references.columns):
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
     refs = references.where("key is not null and key != ''")
-    gone = deleted.where("key is not null and key != '' and deleted_at is not null").groupBy("key").agg(F.min("deleted_at").alias("gone_at"))
-    n = parents.count()
-    listed = might_contain(spark, build_filter(parents, "key", n))
-    dead = might_contain(spark, build_filter(gone, "key", gone.count()))
-    marked = refs.withColumns({"__listed": listed(F.col("key")), "__dead": dead(F.col("key"))})
-    # one verification for both: what a parent key has is joined to it first, and the side is as small as the parents
-    facts = parents.select("key", "first_seen", F.lit(True).alias("__exists")).join(gone, "key", "full")
-    late = F.col("__exists") & F.col("at").isNotNull() & (F.col("first_seen") > F.col("at"))
-    was_gone = F.col("gone_at").isNotNull() & (F.col("at").isNull() | (F.col("gone_at") <= F.col("at")))
-    reason = F.when(was_gone, "deleted").when(F.col("__exists").isNull(), "missing").when(late, "late")
-    doubtful = marked.where("__listed or __dead").drop("__listed", "__dead")
-    verified = doubtful.join(F.broadcast(facts), "key", "left") if n <= BROADCAST_KEYS and gone.count() <= BROADCAST_KEYS else skew_join(doubtful, facts, "key", "left", max_rows)
-    verified = verified.withColumn("reason", reason).where("reason is not null").drop("first_seen", "__exists", "gone_at")
-    definite = marked.where("not __listed and not __dead").drop("__listed", "__dead").withColumn("reason", F.lit("missing"))
-    return definite.unionByName(verified)
+    known = parents.may_know(F.col("key"))
+    late = F.col("listed") & F.col("at").isNotNull() & (F.col("first_seen") > F.col("at"))
+    gone = F.col("gone_at").isNotNull() & (F.col("at").isNull() | (F.col("gone_at") <= F.col("at")))
+    reason = F.when(gone, "deleted").when(F.col("listed").isNull(), "missing").when(late, "late")
+    if parents.bound <= BROADCAST_KEYS:
+        verified = refs.where(known).join(F.broadcast(parents.facts), "key", "left")
+    else:
+        hot = hot_keys(refs, "key", max_rows)  # counted before the filter, which spares Python a pass
+        verified = skew_join(refs.where(known), parents.facts, "key", "left", max_rows, hot=hot)
+    verified = verified.withColumn("reason", reason).where("reason is not null").drop("first_seen", "listed", "gone_at")
+    return refs.where(~known).withColumn("reason", F.lit("missing")).unionByName(verified)

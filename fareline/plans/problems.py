@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fareline.operators.asof import state_asof_join
 from fareline.operators.intervals import continuous_periods
-from fareline.operators.orphans import orphan_references, parent_keys
+from fareline.operators.orphans import orphan_references, parents_of
 from fareline.operators.rolling import rolling_totals
 from fareline.operators.skew import hot_keys, hot_keys_of, skew_join
 from fareline.operators.spikes import implausible_readings
@@ -142,9 +142,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tombstones.where(F.col("table_name") == name).select(F.col("record_key").alias("key"), "deleted_at")
 
     parents = {
-        "trips": parent_keys(table(spark, sf_dir, "trips"), "trip_id", "received_at"),
-        "stops": parent_keys(table(spark, sf_dir, "stops"), "stop_id", None),
-        "vehicles": parent_keys(table(spark, sf_dir, "vehicles"), "vehicle_id", "recorded_at"),
+        "trips": parents_of(table(spark, sf_dir, "trips"), "trip_id", "received_at", deleted("trips")),
+        "stops": parents_of(table(spark, sf_dir, "stops"), "stop_id", None, deleted("stops")),
+        "vehicles": parents_of(table(spark, sf_dir, "vehicles"), "vehicle_id", "recorded_at", deleted("vehicles")),
     }
     out = None
     for child, field, record, day, at, parent in (
@@ -156,7 +156,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, child)
         when = F.col(at) if at else F.lit(None).cast("timestamp_ntz")
         refs = rows.select(F.col(field).alias("key"), when.alias("at"), F.lit(child).alias("table_name"), F.lit(field).alias("field_name"), F.col(record).alias("record_key"), F.date_format(day, "yyyy-MM").alias("period"))
-        found = orphan_references(refs, parents[parent], deleted(parent)).select("table_name", "field_name", "record_key", "period", "reason")
+        found = orphan_references(refs, parents[parent]).select("table_name", "field_name", "record_key", "period", "reason")
         out = found if out is None else out.unionByName(found)
     return out.distinct()  # copies of a record name the same reference: one row
 

@@ -6,7 +6,6 @@ from fareline.operators import orphans
 
 T = dt.datetime(2024, 1, 1)
 HOUR = dt.timedelta(hours=1)
-REFS = "key string, at timestamp_ntz, id int, first_seen string"
 
 
 @pytest.mark.parametrize("broadcast", [50_000, 0])
@@ -17,7 +16,7 @@ def test_reasons(spark, monkeypatch, broadcast, max_rows):
     refs += [("known", T, 100 + i, None) for i in range(40)] + [("Known", T, 12, "x")]
     parents = spark.createDataFrame([("known", T), ("known", T), ("gone", T - 9 * HOUR), ("later", T + HOUR), ("later", T + 3 * HOUR), (None, T), ("", T)], "k string, seen timestamp_ntz")
     deleted = spark.createDataFrame([("gone", T - HOUR), ("gone", T + HOUR), ("gone_unlisted", T), (None, T)], "key string, deleted_at timestamp_ntz")
-    found = orphans.orphan_references(spark.createDataFrame(refs, "key string, at timestamp_ntz, id int, note string"), orphans.parent_keys(parents, "k", "seen"), deleted, max_rows)
+    found = orphans.orphan_references(spark.createDataFrame(refs, "key string, at timestamp_ntz, id int, note string"), orphans.parents_of(parents, "k", "seen", deleted), max_rows)
     assert sorted((r.id, r.reason) for r in found.collect()) == [(2, "deleted"), (4, "missing"), (5, "late"), (9, "deleted"), (11, "deleted"), (12, "missing")]
 
 
@@ -25,8 +24,10 @@ def test_empty_tables(spark):
     refs = spark.createDataFrame([("a", T, 1)], "key string, at timestamp_ntz, id int")
     none = spark.createDataFrame([], "k string, seen timestamp_ntz")
     deleted = spark.createDataFrame([], "key string, deleted_at timestamp_ntz")
-    assert [r.reason for r in orphans.orphan_references(refs, orphans.parent_keys(none, "k", "seen"), deleted).collect()] == ["missing"]
-    assert orphans.orphan_references(refs.limit(0), orphans.parent_keys(none, "k", None), deleted).count() == 0
+    assert [r.reason for r in orphans.orphan_references(refs, orphans.parents_of(none, "k", "seen", deleted)).collect()] == ["missing"]
+    assert orphans.orphan_references(refs.limit(0), orphans.parents_of(none, "k", None, deleted)).count() == 0
+    with pytest.raises(ValueError):
+        orphans.orphan_references(refs.withColumn("reason", refs.key), orphans.parents_of(none, "k", None, deleted))
 
 
 def test_filter_has_no_false_negatives(spark):
