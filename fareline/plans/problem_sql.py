@@ -43,7 +43,7 @@ WITH r AS (SELECT DISTINCT * FROM raw_records),
 f AS (
   SELECT record_id, table_name, CASE table_name WHEN 'delays' THEN 12 WHEN 'tickets' THEN 13 ELSE 11 END AS width,
     CASE table_name WHEN 'delays' THEN 10 WHEN 'tickets' THEN 8 ELSE 6 END AS tested,
-    regexp_full_match(raw_line, '([^",\\r\\n]*|"([^"]|"")*")(,([^",\\r\\n]*|"([^"]|"")*"))*') AS sound,
+    regexp_full_match(raw_line, '([^",]*|"([^"]|"")*")(,([^",]*|"([^"]|"")*"))*') AS sound,
     regexp_extract_all(',' || raw_line, ',("(?:[^"]|"")*"|[^",]*)', 1) AS fields
   FROM r),
 x AS (

@@ -167,15 +167,22 @@ def verdict(record: Record, contract: Contract) -> tuple[str, str, int] | None:
 
 
 def line_verdict(text: str | None, contract: Contract, anchor: re.Pattern[str]) -> tuple[tuple[str, str, int] | None, list[str] | None]:
-    """Verdict on a text that should hold exactly one record, and the record's values if it does."""
+    """Verdict on a text that should hold exactly one record, and the record's values if it does.
+
+    A line break outside quotes does not end such a record; it belongs to the field around it.
+    """
     records = parse(text, contract, anchor)
     broken = next((r for r in records if r.error), None)
     if broken:
         return verdict(broken, contract), None
-    if len(records) > 1:
-        return ("columns", f"{len(records)} records on a line", records[1].begin), None
-    found = verdict(records[0], contract)
-    return found, None if found else records[0].values
+    whole = records[0]
+    for r in records[1:]:
+        at = r.begin - (2 if text.startswith("\r\n", r.begin - 2) else 1)
+        if text.endswith('"', 0, at) or text.startswith('"', r.begin):
+            return ("quoting", "text beside a quoted field", at), None
+        whole = Record([*whole.values[:-1], whole.values[-1] + text[at : r.begin] + r.values[0], *r.values[1:]], whole.begin)
+    found = verdict(whole, contract)
+    return found, None if found else whole.values
 
 
 RESULT = "table_name string, reason string, detail string, error_at int, values array<string>"

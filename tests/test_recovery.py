@@ -22,7 +22,7 @@ def reason(line):
     [
         ("K1,a,5", None), ('K1,"a, ""b""\nc",5', None), ("K1,,", None), ('K1,"",""', None), ("K1,a,5 ", "value"), ("K1,a,5.0", "value"), ("K1,a,2147483648", "value"), ("K1,a,-2147483648", None),
         ("K1,a,٣", "value"), ("K1,a", "columns"), ("K1,a,5,6", "columns"), ("", "columns"), (None, "columns"), ('K1,a"b,5', "quoting"), ('K1,"a"b,5', "quoting"), ('K1,"a,5', "quoting"), ('K1,"a" ,5', "quoting"),
-        ("K1,a,5\nK2,b,6", "columns"), ('K1,"a"\nK2,b,6', "columns"), ('K1,"a,x\nK2,b,6', "quoting"),
+        ("K1,a,5\nK2,b,6", "columns"), ('K1,"a"\nK2,b', "quoting"), ("K1,a\r\nb,5", None), ("K1,a,5\n", "value"), ('K1,\n"a",5', "quoting"), ('K1,"a,x\nK2,b,6', "quoting"),
     ],
 )
 def test_first_reason(line, expected):
