@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareline.llm.canonical import canonical_texts, look_alike_classes, look_alike_pairs
+from fareline.llm.canonical import canonical_sql, canonical_texts, look_alike_classes, look_alike_pairs
 from fareline.llm.leakage import leaked_passages
 from fareline.llm.packing import pack, token_counts
 from fareline.session import table
@@ -44,4 +44,14 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_sequences": p7_sequences, "p7_fill": p7_fill, "p8_found": p8_found, "p8_renamed": p8_renamed, "p9_found": p9_found, "p9_texts": p9_texts}
-SQL: dict[str, str] = {}
+
+#: Blocks of Unicode that the SQL twins map: Latin, marks, Greek, Cyrillic, punctuation, ligatures, full width.
+BLOCKS = ((0x80, 0x250), (0x300, 0x530), (0x2000, 0x2070), (0x2212, 0x2213), (0x3000, 0x3001), (0xFB00, 0xFB07), (0xFE00, 0xFE10), (0xFEFF, 0xFF5F))
+_FORM = canonical_sql("text", [chr(c) for low, high in BLOCKS for c in range(low, high)])
+_WINDOWS = "SELECT DISTINCT {id}, array_to_string(w[i : i + 11], ' ') AS passage FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {id}, regexp_extract_all(lower({form}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}))"
+
+SQL = {
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_WINDOWS.format(id='doc_id', form=_FORM, table='documents')}) JOIN ({_WINDOWS.format(id='item_id', form=_FORM, table='eval_items')}) USING (passage)",
+    "p9_found": f"WITH f AS (SELECT DISTINCT doc_id, text, md5({_FORM}) AS form FROM documents WHERE text IS NOT NULL) SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p9_texts": f"SELECT doc_id, {_FORM} AS text FROM documents",
+}
