@@ -96,10 +96,13 @@ def orphan_references(references: DataFrame, parents: Parents, max_rows: int = 2
     late = F.col("listed") & F.col("at").isNotNull() & (F.col("first_seen") > F.col("at"))
     gone = F.col("gone_at").isNotNull() & (F.col("at").isNull() | (F.col("gone_at") <= F.col("at")))
     reason = F.when(gone, "deleted").when(F.col("listed").isNull(), "missing").when(late, "late")
+    extra = ("first_seen", "listed", "gone_at")
     if parents.bound <= BROADCAST_KEYS:
-        verified = refs.where(known).join(F.broadcast(parents.facts), "key", "left")
-    else:
-        hot = hot_keys(refs, "key", max_rows)  # counted before the filter, which spares Python a pass
-        verified = skew_join(refs.where(known), parents.facts, "key", "left", max_rows, hot=hot)
-    verified = verified.withColumn("reason", reason).where("reason is not null").drop("first_seen", "listed", "gone_at")
+        # one pass: a key that the filter rejects is not looked up and has no facts
+        facts = F.broadcast(parents.facts.withColumnRenamed("key", "__known"))
+        rows = refs.withColumn("__known", F.when(known, F.col("key"))).join(facts, "__known", "left")
+        return rows.withColumn("reason", reason).where("reason is not null").drop("__known", *extra)
+    hot = hot_keys(refs, "key", max_rows)  # counted before the filter, which spares Python a pass
+    verified = skew_join(refs.where(known), parents.facts, "key", "left", max_rows, hot=hot)
+    verified = verified.withColumn("reason", reason).where("reason is not null").drop(*extra)
     return refs.where(~known).withColumn("reason", F.lit("missing")).unionByName(verified)
