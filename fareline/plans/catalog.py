@@ -14,6 +14,7 @@ from fareline.operators import features as X
 from fareline.operators import joins as J
 from fareline.operators import quality as Q
 from fareline.operators import windows as W
+from fareline.plans.problem_sql import _LINES
 from fareline.plans.serving import View, filtered, ordered
 from fareline.session import table
 
@@ -542,6 +543,7 @@ def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.violation_summary(Q.run_rules(_catalog(spark, sf_dir), list(RULES.values())))
 
 
+SQL["dq_unparseable"] = _LINES + _violation("R05", "delays", "CAST(record_id AS VARCHAR)", "'delay_minutes'", "'delay_minutes: ' || v[1:80]", "1", "e WHERE table_name = 'delays' AND reason = 'value'")
 QUERIES |= {"dq_unparseable": dq_unparseable, "dq_summary": dq_summary}
 SQL["dq_summary"] = "SELECT rule_id, \"table\", count(*) AS records, sum(units)::BIGINT AS units FROM (" + " UNION ALL ".join(SQL[f"dq_{n}"] for n in RULES) + ") GROUP BY ALL"
 

@@ -145,3 +145,16 @@ SQL = {
     "p6_found": _P6 + "SELECT DISTINCT measure AS table_name, id AS record_key FROM f",
     "p6_kinds": _P6 + "SELECT measure, kind, count(*) AS n, count(DISTINCT source) AS sources FROM f GROUP BY ALL",
 }
+
+_DUCK = {"string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE", "int": "INTEGER"}
+
+
+def typed_sql(name: str, columns: tuple[str, ...], types: list[str]) -> str:
+    """The valid rows of one table: fields without their quotes, '' as null, what does not fit as null."""
+    def field(i: int, kind: str) -> str:
+        f = f"fields[{i + 1}]"
+        bare = f"CASE WHEN {f} LIKE '\"%' THEN replace(substr({f}, 2, length({f}) - 2), '\"\"', '\"') ELSE {f} END"
+        return f"TRY_CAST(nullif({bare}, '') AS {_DUCK[kind]})"
+
+    picked = ", ".join(f"{field(i, t)} AS {c}" for i, (c, t) in enumerate(zip(columns, types)))
+    return _LINES + f"SELECT record_id, {picked} FROM e WHERE reason IS NULL AND table_name = '{name}'"

@@ -11,6 +11,8 @@ from fareline.operators.orphans import orphan_references, parents_of
 from fareline.operators.rolling import rolling_totals
 from fareline.operators.skew import hot_keys, hot_keys_of, skew_join
 from fareline.operators.spikes import implausible_readings
+from fareline.plans.problem_sql import SQL as TWINS
+from fareline.plans.problem_sql import typed_sql
 from fareline.session import checkpoint, table
 from fareline.sources.recovery import Contract, is_decimal, is_int32, is_moment, parse_lines, split_failed, typed
 
@@ -235,4 +237,4 @@ QUERIES = {
     "p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p6_found": p6_found, "p6_kinds": p6_kinds,
 }
 
-from fareline.plans.problem_sql import SQL  # noqa: E402,F401
+SQL = TWINS | {f"p2_{name}": typed_sql(name, c.columns, TYPES[name]) for name, c in CONTRACTS.items()}
