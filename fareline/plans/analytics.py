@@ -151,8 +151,8 @@ SELECT *, CAST(dense_rank() OVER (ORDER BY mean_boardings DESC NULLS LAST) AS IN
 def an_stop_usage(q) -> str:
     return base(q) + f""",
 days AS (SELECT count(DISTINCT service_date) AS n FROM k),
-boarded AS (SELECT entry_stop_id AS stop_id, count(*) AS n FROM k GROUP BY entry_stop_id), left_at AS (SELECT exit_stop_id AS stop_id, count(*) AS n FROM k WHERE exit_stop_id <> '' GROUP BY exit_stop_id),
-u AS (SELECT s.stop_id, s.zone, coalesce(b.n, 0) AS taps_in, coalesce(l.n, 0) AS taps_out FROM stops s LEFT JOIN boarded b ON s.stop_id = b.stop_id LEFT JOIN left_at l ON s.stop_id = l.stop_id)
+g AS (SELECT stop_id, CAST(sum(a) AS BIGINT) AS n_in, CAST(sum(b) AS BIGINT) AS n_out FROM {q.rows_of("(SELECT entry_stop_id, exit_stop_id FROM k)", ["stop_id", "a", "b"], [["entry_stop_id", "1", "0"], ["exit_stop_id", "0", "1"]])} WHERE stop_id <> '' GROUP BY stop_id),
+u AS (SELECT s.stop_id, s.zone, coalesce(g.n_in, 0) AS taps_in, coalesce(g.n_out, 0) AS taps_out FROM stops s LEFT JOIN g ON s.stop_id = g.stop_id)
 SELECT *, round({ratio("taps_in + taps_out", "(SELECT n FROM days)")}, 6) AS per_day, CAST(dense_rank() OVER (ORDER BY taps_in + taps_out DESC) AS INT) AS usage_rank FROM u"""
 
 
@@ -184,12 +184,10 @@ SELECT route_id, direction, n, round(m, 6) AS mean_min, round(s / nullif(m, 0e0)
 
 @statement
 def an_stop_patterns(q) -> str:
-    return base(q) + """,
-i AS (SELECT entry_stop_id AS stop_id, day_class, period, count(*) AS n FROM k JOIN t ON k.trip_id = t.trip_id GROUP BY entry_stop_id, day_class, period),
-o AS (SELECT exit_stop_id AS stop_id, day_class, period, count(*) AS n FROM k JOIN t ON k.trip_id = t.trip_id WHERE exit_stop_id <> '' GROUP BY exit_stop_id, day_class, period)
-SELECT coalesce(i.stop_id, o.stop_id) AS stop_id, coalesce(i.day_class, o.day_class) AS day_class, coalesce(i.period, o.period) AS period, coalesce(i.n, 0) AS taps_in, coalesce(o.n, 0) AS taps_out,
-  CASE WHEN coalesce(i.n, 0) >= 1.5 * coalesce(o.n, 0) THEN 'origin' WHEN coalesce(o.n, 0) >= 1.5 * coalesce(i.n, 0) THEN 'destination' ELSE 'balanced' END AS pattern
-FROM i FULL OUTER JOIN o ON i.stop_id = o.stop_id AND i.day_class = o.day_class AND i.period = o.period"""
+    u = q.rows_of("(SELECT k.entry_stop_id, k.exit_stop_id, t.day_class, t.period FROM k JOIN t ON k.trip_id = t.trip_id)", ["stop_id", "a", "b"], [["entry_stop_id", "1", "0"], ["exit_stop_id", "0", "1"]])
+    return base(q) + f""",
+g AS (SELECT stop_id, day_class, period, CAST(sum(a) AS BIGINT) AS taps_in, CAST(sum(b) AS BIGINT) AS taps_out FROM {u} WHERE stop_id <> '' GROUP BY stop_id, day_class, period)
+SELECT *, CASE WHEN taps_in >= 1.5 * taps_out THEN 'origin' WHEN taps_out >= 1.5 * taps_in THEN 'destination' ELSE 'balanced' END AS pattern FROM g"""
 
 
 @statement
@@ -199,10 +197,9 @@ def an_od_pairs(q) -> str:
 
 @statement
 def an_load_profile(q) -> str:
-    return base(q) + """,
-e AS (
-  SELECT route_id, stop_id, sum(n) AS net, min(pos) AS pos FROM (
-    SELECT k.route_id, k.entry_stop_id AS stop_id, 1 AS n, 0 AS pos FROM k UNION ALL SELECT k.route_id, k.exit_stop_id, -1, 1 FROM k WHERE k.exit_stop_id <> '') x GROUP BY route_id, stop_id)
+    u = q.rows_of("(SELECT route_id, entry_stop_id, exit_stop_id FROM k)", ["stop_id", "n"], [["entry_stop_id", "1"], ["exit_stop_id", "-1"]])
+    return base(q) + f""",
+e AS (SELECT route_id, stop_id, sum(n) AS net FROM {u} WHERE stop_id <> '' GROUP BY route_id, stop_id)
 SELECT route_id, stop_id, CAST(net AS BIGINT) AS net, CAST(sum(net) OVER (PARTITION BY route_id ORDER BY stop_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS on_board FROM e"""
 
 
@@ -275,8 +272,8 @@ SELECT c.route_id, c.direction, c.day_class, c.period, n, round(m, 6) AS mean_oc
 @statement
 def an_delay_by_dimension(q) -> str:
     dims = {"route": "route_id", "direction": "CAST(direction AS STRING)", "period": "period", "hour": "CAST(h AS STRING)", "weekday": "CAST(dow AS STRING)", "day_class": "day_class", "month": "ym", "vehicle": "vehicle_id", "band": "band"}
-    explode = " UNION ALL ".join(f"SELECT '{n}' AS dimension, {c} AS val, delay FROM t" for n, c in dims.items())
-    return base(q) + f", u AS ({explode}) SELECT dimension, val, count(*) AS trips, count(delay) AS judged, round(avg(delay), 6) AS mean_delay, round({share('delay >= 5', 'delay')}, 6) AS late_share FROM u WHERE val IS NOT NULL GROUP BY dimension, val"
+    u = q.rows_of("t", ["dimension", "val"], [[f"'{n}'", c] for n, c in dims.items()])
+    return base(q) + f" SELECT dimension, val, count(*) AS trips, count(delay) AS judged, round(avg(delay), 6) AS mean_delay, round({share('delay >= 5', 'delay')}, 6) AS late_share FROM {u} WHERE val IS NOT NULL GROUP BY dimension, val"
 
 
 @statement
@@ -311,7 +308,7 @@ SELECT period, CAST(least(9, floor(place * 10)) AS INT) AS decile, count(*) AS n
 @statement
 def an_delay_consistent(q) -> str:
     return base(q) + f""",
-e AS (SELECT 'route' AS kind, route_id AS entity, service_date, delay FROM t UNION ALL SELECT 'vehicle', vehicle_id, service_date, delay FROM t WHERE vehicle_id <> ''),
+e AS (SELECT kind, entity, service_date, delay FROM {q.rows_of("t", ["kind", "entity"], [["'route'", "route_id"], ["'vehicle'", "vehicle_id"]])} WHERE entity <> ''),
 s AS (SELECT service_date, round(avg(delay), 6) AS system_delay FROM t GROUP BY service_date),
 d AS (SELECT kind, entity, service_date, round(avg(delay), 6) AS m FROM e WHERE delay IS NOT NULL GROUP BY kind, entity, service_date)
 SELECT kind, entity, count(*) AS days, count(CASE WHEN m > system_delay THEN 1 END) AS above, {ratio("count(CASE WHEN m > system_delay THEN 1 END)", "count(*)")} >= 0.75 AS consistent FROM d JOIN s ON d.service_date = s.service_date GROUP BY kind, entity"""
@@ -374,16 +371,23 @@ FROM c LEFT JOIN fit ON c.route_id = fit.route_id AND c.direction = fit.directio
 
 def _anomalies(q) -> str:
     w = "PARTITION BY passenger_id ORDER BY entry_time, ticket_id"
+    odd = f"{ratio('travelled', 'planned')} < 0.5 OR {ratio('travelled', 'planned')} > 2"
+    signals = q.rows_of(
+        "t", ["kind", "observed", "wanted"],
+        [
+            ["CASE WHEN delay >= 60 THEN 'long_delay' END", "delay", "CAST(NULL AS DOUBLE)"],
+            ["CASE WHEN max_load > boardings THEN 'load_over_boardings' END", "CAST(max_load AS DOUBLE)", "CAST(boardings AS DOUBLE)"],
+            ["CASE WHEN denied > 0 AND occupancy < 0.5 THEN 'denied_though_empty' END", "CAST(denied AS DOUBLE)", "occupancy"],
+            [f"CASE WHEN {odd} THEN 'travel_time' END", "travelled", "planned"],
+        ],
+    )
     return _events(q) + f""",
 taps AS (
   SELECT ticket_id, passenger_id, service_date, entry_time, entry_stop_id, lag(entry_time) OVER ({w}) AS before_in, lag(exit_time) OVER ({w}) AS before_out, lag(entry_stop_id) OVER ({w}) AS before_stop
   FROM k WHERE passenger_id <> '' AND entry_time IS NOT NULL),
 anomalies AS (
   SELECT 'demand_' || state AS kind, route_id AS entity, service_date, demand AS observed, expected FROM events WHERE state IN ('spike', 'drop')
-  UNION ALL SELECT 'long_delay', trip_id, service_date, delay, CAST(NULL AS DOUBLE) FROM t WHERE delay >= 60
-  UNION ALL SELECT 'load_over_boardings', trip_id, service_date, CAST(max_load AS DOUBLE), CAST(boardings AS DOUBLE) FROM t WHERE max_load > boardings
-  UNION ALL SELECT 'denied_though_empty', trip_id, service_date, CAST(denied AS DOUBLE), occupancy FROM t WHERE denied > 0 AND occupancy < 0.5
-  UNION ALL SELECT 'travel_time', trip_id, service_date, travelled, planned FROM t WHERE {ratio("travelled", "planned")} < 0.5 OR {ratio("travelled", "planned")} > 2
+  UNION ALL SELECT kind, trip_id, service_date, observed, wanted FROM {signals} WHERE kind IS NOT NULL
   UNION ALL SELECT 'repeated_tap', ticket_id, service_date, {q.seconds("before_in", "entry_time")}, CAST(NULL AS DOUBLE) FROM taps
     WHERE ({q.seconds("before_in", "entry_time")} <= 120 AND entry_stop_id = before_stop) OR entry_time < before_out)"""
 

@@ -28,6 +28,11 @@ class Spark:
     def joined(self, x: str) -> str:
         return f"array_join(array_sort(collect_set({x})), ',')"
 
+    def rows_of(self, source: str, columns: list[str], values: list[list[str]]) -> str:
+        """Each row of the source once per list of values, as further columns: one scan for all of them."""
+        flat = ", ".join(v for row in values for v in row)
+        return f"{source} LATERAL VIEW stack({len(values)}, {flat}) unpivoted AS {', '.join(columns)}"
+
     def last_known(self, x: str, over: str) -> str:
         return f"last_value({x}) IGNORE NULLS OVER ({over})"
 
@@ -63,6 +68,10 @@ class DuckDB:
     def joined(self, x: str) -> str:
         return f"coalesce(string_agg(DISTINCT {x}, ',' ORDER BY {x}), '')"
 
+    def rows_of(self, source: str, columns: list[str], values: list[list[str]]) -> str:
+        structs = ", ".join("{" + ", ".join(f"'{c}': {v}" for c, v in zip(columns, row)) + "}" for row in values)
+        return f"(SELECT *, unnest([{structs}], recursive := true) FROM {source}) unpivoted"
+
     def last_known(self, x: str, over: str) -> str:
         return f"last_value({x} IGNORE NULLS) OVER ({over})"
 
