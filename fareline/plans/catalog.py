@@ -17,6 +17,7 @@ from fareline.operators import windows as W
 from fareline.plans.problem_sql import _LINES
 from fareline.plans.serving import View, filtered, ordered
 from fareline.session import table
+from fareline.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -623,3 +624,25 @@ def feat_route_day(trips, passenger_counts):
 @query("SELECT entry_stop_id AS stop_id, service_date, count(DISTINCT ticket_id) AS boardings FROM tickets WHERE entry_stop_id <> '' GROUP BY ALL")
 def feat_stop_day(tickets):
     return tickets.where("entry_stop_id != ''").groupBy(F.col("entry_stop_id").alias("stop_id"), "service_date").agg(F.countDistinct("ticket_id").alias("boardings"))
+
+
+# ---- the streaming operators, over the whole table as one batch
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling_counts(events):
+    return live.tumbling_counts(events, "ts", ["event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT vehicle_id, time_bucket(INTERVAL 3 MINUTE, event_time, TIMESTAMP '1970-01-01') AS window_start, max(event_time) AS event_time, arg_max(event_type, event_time) AS event_type FROM gps_events WHERE vehicle_id <> '' GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 1")
+def stream_latest_positions(gps_events):
+    rows = gps_events.where("vehicle_id != ''")
+    one = rows.groupBy("vehicle_id", F.window("event_time", "3 minutes")["start"].alias("window_start")).agg(F.countDistinct("event_type").alias("types")).where("types = 1").drop("types")
+    last = live.latest_positions(rows, "vehicle_id", "event_time", ["event_type"])
+    kept = last.join(one.withColumn("window_start", F.col("window_start").cast("timestamp")), ["vehicle_id", "window_start"], "left_semi")
+    return kept.select("vehicle_id", F.col("window_start").cast("timestamp_ntz"), F.col("event_time").cast("timestamp_ntz"), "event_type")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, i")
+def stream_sessions(events):
+    return live.sessions(events, "user_id", "ts").withColumn("start", F.col("start").cast("timestamp_ntz"))
