@@ -534,7 +534,7 @@ def dq_unparseable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarantined lines of raw_records as violations of the tables they belong to."""
     from fareline.plans.problems import parsed_records, split_failed
 
-    failed = split_failed(parsed_records(spark, sf_dir)).where("table_name = 'delays' and reason = 'value'")
+    failed = split_failed(parsed_records(spark, sf_dir)).where("table_name = 'delays' and reason = 'value'").distinct()
     quarantined = failed.select(F.col("record_id").cast("string").alias("delay_id"), F.split_part("detail", F.lit(":"), F.lit(1)).alias("failed_columns"), F.col("detail").alias("raw_record"))
     c = Q.Catalog({"delays": table(spark, sf_dir, "delays")}, _KEYS, {"delays": quarantined})
     return Q.run_rule(c, Q.Rule("R05", "unparseable", "delays", params={"columns": ["delay_minutes"]}))

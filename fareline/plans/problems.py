@@ -101,22 +101,23 @@ TYPES = {
 
 
 def parsed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_lines(table(spark, sf_dir, "raw_records").distinct(), CONTRACTS, "record_id")
+    return parse_lines(table(spark, sf_dir, "raw_records"), CONTRACTS, "record_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_failed(parsed_records(spark, sf_dir)).select("record_id", "reason")
+    # copies of a line are dropped here, where there are few rows
+    return split_failed(parsed_records(spark, sf_dir)).select("record_id", "reason").distinct()
 
 
 def p2_typed(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return typed(parsed_records(spark, sf_dir), CONTRACTS[name], name, "record_id", TYPES[name])
+        return typed(parsed_records(spark, sf_dir), CONTRACTS[name], name, "record_id", TYPES[name]).distinct()
 
     return query
 
 
 def p2_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_failed(parsed_records(spark, sf_dir)).groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return split_failed(parsed_records(spark, sf_dir)).select("record_id", "table_name", "reason").distinct().groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- 3: rolling totals
