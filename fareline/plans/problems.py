@@ -34,14 +34,15 @@ def micros(column: str) -> Column:
 
 
 def trips_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct row of trips with the schedule and vehicle version in force and known at its departure.
+    """Every row of trips with the schedule and vehicle version in force and known at its departure.
 
     schedule_in_force, version_in_force and capacity_total are null where nothing was in force;
-    schedule_known and vehicle_known tell whether the references exist at all.
+    schedule_known and vehicle_known tell whether the references exist at all. row_hash is of the whole row:
+    copies of a row come out as often as they go in, and equal in every column.
     """
     columns = ["trip_id", "schedule_id", "vehicle_id", "service_date", "scheduled_departure"]
     raw = table(spark, sf_dir, "trips")
-    trips = raw.select(*columns, F.xxhash64(*raw.columns).alias("row_hash")).distinct()
+    trips = raw.select(*columns, F.xxhash64(*raw.columns).alias("row_hash"))
     schedules = table(spark, sf_dir, "schedules").select("schedule_id", "route_id", "service_id", "direction", "period", "valid_from", "valid_to").distinct()
     schedules = schedules.withColumn("line", text_key("route_id", "service_id", "direction", "period"))
     named = schedules.where("schedule_id is not null and schedule_id != ''").groupBy("schedule_id").agg(F.min("line").alias("line"))
@@ -63,17 +64,18 @@ def trips_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     available = F.greatest(micros("recorded_at"), F.unix_micros(F.date_add("effective_from", F.col("lag")).cast("timestamp")))
     states = states.where("effective_from is not null and recorded_at is not null").select(text_key("vehicle_id", "lag").alias("carrier"), available.alias("start"), *order, F.col("version_id").alias("version_in_force"), "capacity_total", "last_version")
     out = state_asof_join(scheduled, states, "carrier", "moment", "start", order, ["version_in_force", "capacity_total", "last_version"], known="vehicle_known", max_rows=MAX_ROWS, hot=by_carrier)
-    return out.select(*columns, "schedule_in_force", "version_in_force", "capacity_total", "last_version", F.col("line").isNotNull().alias("schedule_known"), "vehicle_known")
+    return out.select(*columns, "row_hash", "schedule_in_force", "version_in_force", "capacity_total", "last_version", F.col("line").isNotNull().alias("schedule_known"), "vehicle_known")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trips_as_known(spark, sf_dir).where("schedule_known and vehicle_known")
     other = ~F.col("schedule_in_force").eqNullSafe(F.col("schedule_id")) | F.col("version_in_force").isNull() | (F.col("version_in_force") != F.col("last_version"))
-    return t.where(other).select("trip_id", F.coalesce("schedule_in_force", F.lit("")).alias("schedule_id"), F.coalesce("version_in_force", F.lit(0)).alias("version_id"))
+    cases = t.where(other).select("row_hash", "trip_id", F.coalesce("schedule_in_force", F.lit("")).alias("schedule_id"), F.coalesce("version_in_force", F.lit(0)).alias("version_id"))
+    return cases.distinct().drop("row_hash")  # copies are dropped where there are few rows
 
 
 def p1_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trips_as_known(spark, sf_dir).select("trip_id", "service_date", "scheduled_departure", "schedule_in_force", "version_in_force", "capacity_total")
+    return trips_as_known(spark, sf_dir).select("row_hash", "trip_id", "service_date", "scheduled_departure", "schedule_in_force", "version_in_force", "capacity_total").distinct().drop("row_hash")
 
 
 # ---- 2: rows that fail to parse
