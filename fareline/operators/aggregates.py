@@ -37,11 +37,15 @@ def by_dimensions(df: DataFrame, dimensions: dict[str, Column], aggregates: Sequ
 def factor_with_fallback(cells: DataFrame, levels: Sequence[Sequence[str]], top: str, bottom: str, least: float, names: Sequence[str]) -> DataFrame:
     """top / bottom of the finest level whose bottom reaches ``least``, else of the coarsest.
 
-    levels: key lists from fine to coarse, the first being the cells' own keys. Adds factor and factor_level.
-    The coarser sums are aggregated from the cells, not from the rows under them.
+    levels: key lists from fine to coarse, the first being the cells' own keys, [] being all cells. Adds factor
+    and factor_level. The coarser sums are aggregated from the cells, not from the rows under them.
     """
     out = cells
     for i, keys in enumerate(levels[1:], 1):
+        if not keys:
+            total = cells.agg(F.struct(F.sum(top).alias("t"), F.sum(bottom).alias("b"))).scalar()
+            out = out.withColumns({f"__t{i}": total.getField("t"), f"__b{i}": total.getField("b")})
+            continue
         sums = cells.groupBy(*keys).agg(F.sum(top).alias(f"__t{i}"), F.sum(bottom).alias(f"__b{i}"))
         out = out.join(sums, list(keys))
     picks = [(F.col(bottom), F.col(top))] + [(F.col(f"__b{i}"), F.col(f"__t{i}")) for i in range(1, len(levels))]

@@ -364,9 +364,10 @@ def an_demand_supply_gap(q) -> str:
     return base(q) + f""",
 c AS (SELECT route_id, direction, day_class, period, CAST({q.pct("max_load", 0.9)} AS DOUBLE) AS need, max(capacity) AS have, count(max_load) AS n FROM t GROUP BY route_id, direction, day_class, period),
 types AS (SELECT vehicle_type, min(capacity_total) AS size FROM vehicles WHERE capacity_total IS NOT NULL GROUP BY vehicle_type),
-fit AS (SELECT c.route_id, c.direction, c.day_class, c.period, min_by(vehicle_type, {q.tup("size", "vehicle_type")}) AS fits, min(size) AS size FROM c JOIN types ON types.size >= c.need GROUP BY c.route_id, c.direction, c.day_class, c.period)
+sizes AS (SELECT size, min(vehicle_type) AS fits, coalesce(lag(size) OVER (ORDER BY size), -1) AS smaller FROM types GROUP BY size),
+fit AS (SELECT {q.each("smaller + 1", "size")} AS load, size, fits FROM sizes)
 SELECT c.route_id, c.direction, c.day_class, c.period, n, need, have, fits, size, CASE WHEN n < 3 THEN 'unknown' WHEN fits IS NULL THEN 'add_trips' WHEN need > have THEN 'larger' WHEN size < have THEN 'smaller' ELSE 'keep' END AS suggestion
-FROM c LEFT JOIN fit ON c.route_id = fit.route_id AND c.direction = fit.direction AND c.day_class = fit.day_class AND c.period = fit.period"""
+FROM c LEFT JOIN fit ON CAST(c.need AS INT) = fit.load"""
 
 
 def _anomalies(q) -> str:

@@ -267,9 +267,9 @@ def agg_unpivot_dimension(lineitem):
 
 @query("WITH c AS (SELECT route_id, entry_stop_id, count(*) AS taps, count(DISTINCT passenger_id) AS people FROM tickets GROUP BY ALL), r AS (SELECT route_id, sum(taps) AS t, sum(people) AS p FROM c GROUP BY 1), a AS (SELECT sum(taps) AS t, sum(people) AS p FROM c) SELECT c.*, round(CASE WHEN people >= 30 THEN taps / people WHEN r.p >= 30 THEN r.t / r.p ELSE a.t / a.p END, 6) AS factor, CASE WHEN people >= 30 THEN 'cell' WHEN r.p >= 30 THEN 'route' ELSE 'all' END AS factor_level FROM c JOIN r ON c.route_id = r.route_id, a")
 def agg_fallback_factor(tickets):
-    c = tickets.groupBy("route_id", "entry_stop_id").agg(F.count(F.lit(1)).alias("taps"), F.countDistinct("passenger_id").alias("people")).withColumn("all_rows", F.lit(1))
-    f = A.factor_with_fallback(c, [["route_id", "entry_stop_id"], ["route_id"], ["all_rows"]], "taps", "people", 30, ["cell", "route", "all"])
-    return f.drop("all_rows").withColumn("factor", r6(F.col("factor")))
+    c = tickets.groupBy("route_id", "entry_stop_id").agg(F.count(F.lit(1)).alias("taps"), F.countDistinct("passenger_id").alias("people"))
+    f = A.factor_with_fallback(c, [["route_id", "entry_stop_id"], ["route_id"], []], "taps", "people", 30, ["cell", "route", "all"])
+    return f.withColumn("factor", r6(F.col("factor")))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS copies, count(DISTINCT (l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) AS versions FROM lineitem GROUP BY ALL HAVING count(*) > 1")

@@ -33,6 +33,10 @@ class Spark:
         flat = ", ".join(v for row in values for v in row)
         return f"{source} LATERAL VIEW stack({len(values)}, {flat}) unpivoted AS {', '.join(columns)}"
 
+    def each(self, a: str, b: str) -> str:
+        """The whole numbers from a to b, a row each."""
+        return f"explode(sequence(CAST({a} AS INT), CAST({b} AS INT)))"
+
     def last_known(self, x: str, over: str) -> str:
         return f"last_value({x}) IGNORE NULLS OVER ({over})"
 
@@ -72,6 +76,9 @@ class DuckDB:
         structs = ", ".join("{" + ", ".join(f"'{c}': {v}" for c, v in zip(columns, row)) + "}" for row in values)
         return f"(SELECT *, unnest([{structs}], recursive := true) FROM {source}) unpivoted"
 
+    def each(self, a: str, b: str) -> str:
+        return f"unnest(generate_series(CAST({a} AS INT), CAST({b} AS INT)))"
+
     def last_known(self, x: str, over: str) -> str:
         return f"last_value({x} IGNORE NULLS) OVER ({over})"
 

@@ -87,8 +87,8 @@ def test_dense_grid(spark, rows):
 
 
 def test_factor_falls_back(spark, rows):
-    cells = spark.createDataFrame([("r", "p", 10, 40), ("r", "q", 6, 2), ("s", "p", 9, 3)], "r string, p string, t int, b int").withColumn("one", F.lit(1))
-    out = A.factor_with_fallback(cells, [["r", "p"], ["r"], ["one"]], "t", "b", 30, ["cell", "route", "all"])
+    cells = spark.createDataFrame([("r", "p", 10, 40), ("r", "q", 6, 2), ("s", "p", 9, 3)], "r string, p string, t int, b int")
+    out = A.factor_with_fallback(cells, [["r", "p"], ["r"], []], "t", "b", 30, ["cell", "route", "all"])
     assert rows(out, "r", "p", "factor", "factor_level") == [("r", "p", 0.25, "cell"), ("r", "q", 16 / 42, "route"), ("s", "p", 25 / 45, "all")]
 
 
