@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fareline.operators.skew import HOT_KEYS, skew_join
 from fareline.session import checkpoint
 
 # Letters of other scripts and the Latin letters they look like, position by position.
@@ -131,19 +132,28 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -
     return with_canonical(rows, text, key, "SELECT key, md5({form}) AS form_id, md5(text) AS text_id FROM batch", f"key {kind}, form_id string, text_id string").withColumnRenamed("key", key)
 
 
-def look_alike_pairs(classes: DataFrame, key: str = "doc_id") -> DataFrame:
+def look_alike_pairs(classes: DataFrame, key: str = "doc_id", max_rows: int = 250_000) -> DataFrame:
     """(key_1, key_2), smaller first: rows whose texts differ but have one form.
 
     Texts that are equal are counted before any shuffle of rows; only classes with different texts are joined,
     text against text and then with their rows, so equal rows are never paired with each other. The
-    fingerprints are kept in shared storage, so every text is read once.
+    fingerprints, and the links of texts, are kept in shared storage, so every text is read once.
+
+    Skew: of two linked texts the more frequent one is joined with its rows first, and the rows of a text with
+    over max_rows of them are salted, in this join and in the one with the rarer text's rows.
     """
     classes = checkpoint(classes)
     texts = classes.groupBy("form_id", "text_id").agg(F.count(F.lit(1)).alias("n"))
     several = texts.groupBy("form_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("form_id")
-    members = classes.join(several, "form_id", "left_semi").distinct()
-    a = texts.join(several, "form_id", "left_semi").select("form_id", F.col("text_id").alias("text_a"))
-    links = a.join(a.withColumnRenamed("text_a", "text_b"), "form_id").where("text_a < text_b")
-    left = links.join(members.select("form_id", F.col("text_id").alias("text_a"), F.col(key).alias("__1")), ["form_id", "text_a"])
-    both = left.join(members.select("form_id", F.col("text_id").alias("text_b"), F.col(key).alias("__2")), ["form_id", "text_b"])
-    return both.select(F.least("__1", "__2").alias(f"{key}_1"), F.greatest("__1", "__2").alias(f"{key}_2")).distinct()
+    a = texts.join(several, "form_id", "left_semi").select("form_id", F.struct("n", "text_id").alias("a"))
+    links = a.join(a.withColumnRenamed("a", "b"), "form_id").where("a > b").select("form_id", F.col("a.text_id").alias("text"), F.col("b.text_id").alias("other"), F.col("a.n").alias("n"))
+    links = checkpoint(links)
+    members = classes.join(links.select("form_id").distinct(), "form_id", "left_semi").select(F.col("text_id").alias("text"), key)
+    # at most HOT_KEYS entries each
+    hot_a = links.where(F.col("n") > max_rows).select("text", "n").distinct().orderBy(F.desc("n"), "text").limit(HOT_KEYS)
+    hot_b = links.groupBy("other").agg(F.sum("n").alias("n")).where(F.col("n") > max_rows).orderBy(F.desc("n"), "other").limit(HOT_KEYS)
+    counts_a, counts_b = ({r[0]: r[1] for r in h.collect()} for h in (hot_a, hot_b))
+    left = skew_join(members, links.select("text", "other"), "text", "inner", max_rows, hot=(0, counts_a))
+    rows = left.select(F.col("other").alias("text"), F.col(key).alias("__1"))
+    both = skew_join(rows, members.withColumnRenamed(key, "__2"), "text", "inner", max_rows, hot=(0, counts_b))
+    return both.select(F.least("__1", "__2").alias(f"{key}_1"), F.greatest("__1", "__2").alias(f"{key}_2")).where(F.col(f"{key}_1") != F.col(f"{key}_2")).distinct()
