@@ -2,12 +2,13 @@
 
 Time is cut into exact units and these into shards. Per entity and shard two bitmaps are kept: units covered
 by anything, and units covered by two different sources. They travel as run lists (start, length, ...), are
-united as integers, and set and clear runs are read off them. An interval without end fills the rest of its
-shard and marks the next one as the first that it covers whole.
+united as integers, and set and clear runs are read off them. Shards that an interval covers whole are not
+written out: it marks the first of them and the one after the last, if it has an end.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 SHARD = 1024
 #: Bitmaps that a task gathers before it passes them on.
 HELD = 200_000
+#: The shard after the last one of an interval without end.
+NEVER = 2**62
 
-_LOCAL = "entity string, source string, shard long, covered array<int>, tail boolean"
-_UNITED = "entity string, shard long, covered array<int>, twice array<int>, tails int"
+_LOCAL = "entity string, source string, shard long, covered array<int>, until long"
+_UNITED = "entity string, shard long, covered array<int>, twice array<int>, change int"
 _PERIODS = "entity string, lo bigint, hi bigint, shared boolean, next_lo bigint"
 _RUNS = pa.list_(pa.int32())
 
@@ -72,53 +75,68 @@ def _local_bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def rows() -> Iterator[tuple]:
         own: dict[tuple[str, str, int], int] = defaultdict(int)
-        tails: set[tuple[str, str, int]] = set()
+        whole: set[tuple[str, str, int, int]] = set()
 
         def emit() -> Iterator[tuple]:
             for key, bits in own.items():
-                yield (*key, to_runs(bits), False)
-            for key in tails:
-                yield (*key, [], True)
+                yield (*key, to_runs(bits), None)
+            for entity, source, start, until in whole:
+                yield entity, source, start, [], until
             own.clear()
-            tails.clear()
+            whole.clear()
 
         for batch in batches:
             for entity, source, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
-                first = lo // SHARD
-                if hi is None:
-                    tails.add((entity, source, first + 1))
-                    hi = (first + 1) * SHARD
-                for shard in range(first, (hi - 1) // SHARD + 1):
-                    a, b = max(lo - shard * SHARD, 0), min(hi - shard * SHARD, SHARD)
+                first, last = lo // SHARD, NEVER if hi is None else (hi - 1) // SHARD
+                shards = range(first, last + 1)
+                if last > first + 2:
+                    whole.add((entity, source, first + 1, last))
+                    shards = (first,) if last == NEVER else (first, last)
+                for shard in shards:
+                    a, b = max(lo - shard * SHARD, 0), SHARD if hi is None else min(hi - shard * SHARD, SHARD)
                     own[entity, source, shard] |= ((1 << (b - a)) - 1) << a
-                if len(own) + len(tails) > HELD:
+                if len(own) + len(whole) > HELD:
                     yield from emit()
         yield from emit()
 
-    yield from _batches(rows(), [pa.string(), pa.string(), pa.int64(), _RUNS, pa.bool_()], _LOCAL)
+    yield from _batches(rows(), [pa.string(), pa.string(), pa.int64(), _RUNS, pa.int64()], _LOCAL)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, until in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], until))
+        else:
+            out.append((start, until))
+    return out
 
 
 def _unite_sources(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All bitmaps of an (entity, source) come to one task, so what the tasks yield has no source in common."""
     own: dict[tuple[str, str], dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    tails: dict[tuple[str, str], int] = {}
+    whole: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
     for batch in batches:
-        for entity, source, shard, covered, tail in zip(*(c.to_pylist() for c in batch.columns)):
-            if tail:
-                tails[entity, source] = min(shard, tails.get((entity, source), shard))
+        for entity, source, shard, covered, until in zip(*(c.to_pylist() for c in batch.columns)):
+            if until is not None:
+                whole[entity, source].append((shard, until))
             else:
                 own[entity, source][shard] |= to_bits(covered)
     both: dict[tuple[str, int], tuple[int, int]] = {}
-    begun: dict[tuple[str, int], int] = defaultdict(int)
-    for (entity, source), shards in own.items():
-        end = tails.get((entity, source))
+    change: dict[tuple[str, int], int] = defaultdict(int)
+    for (entity, source), shards in own.items():  # a span always has a bitmap before it
+        spans = _merged(whole.get((entity, source), []))
+        starts = [s for s, _ in spans]
         for shard, bits in shards.items():
-            if end is None or shard < end:
+            i = bisect_right(starts, shard) - 1
+            if i < 0 or shard >= spans[i][1]:
                 both[entity, shard] = unite(both.get((entity, shard), (0, 0)), (bits, 0))
-        if end is not None:
-            begun[entity, end] += 1
-    keys = both.keys() | begun.keys()
-    rows = ((e, s, to_runs((x := both.get((e, s), (0, 0)))[0]), to_runs(x[1]), begun.get((e, s), 0)) for e, s in keys)
+        for start, until in spans:
+            change[entity, start] += 1
+            if until != NEVER:
+                change[entity, until] -= 1
+    keys = both.keys() | change.keys()
+    rows = ((e, s, to_runs((x := both.get((e, s), (0, 0)))[0]), to_runs(x[1]), change.get((e, s), 0)) for e, s in keys)
     yield from _batches(rows, [pa.string(), pa.int64(), _RUNS, _RUNS, pa.int32()], _UNITED)
 
 
@@ -128,9 +146,10 @@ class _Periods:
     def __init__(self) -> None:
         self.found: list[tuple[int, int, bool]] = []
         self.shard: int | None = None
-        self.now, self.begun, self.open = (0, 0), 0, 0
+        self.now, self.change, self.open = (0, 0), 0, 0
 
-    def add(self, shard: int, pair: tuple[int, int], tails: int) -> None:
+    def add(self, shard: int, pair: tuple[int, int], change: int) -> None:
+        """change: by how many more sources the shard and those after it are covered whole."""
         if shard != self.shard:
             self.close()
             if self.open and self.found and self.shard is not None and shard > self.shard + 1:
@@ -138,12 +157,12 @@ class _Periods:
                 self.found[-1] = (lo, shard * SHARD, shared or self.open > 1)
             self.shard = shard
         self.now = unite(self.now, pair)
-        self.begun += tails
+        self.change += change
 
     def close(self) -> None:
         if self.shard is None:
             return
-        self.open += self.begun
+        self.open += self.change
         covered, twice = self.now
         full = (1 << SHARD) - 1
         if self.open:
@@ -157,7 +176,7 @@ class _Periods:
                 self.found[-1] = (self.found[-1][0], hi, self.found[-1][2] or shared)
             else:
                 self.found.append((lo, hi, shared))
-        self.now, self.begun = (0, 0), 0
+        self.now, self.change = (0, 0), 0
 
     def rows(self, entity: str) -> Iterator[tuple]:
         self.close()
@@ -172,12 +191,12 @@ def _periods(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         entity, state = None, _Periods()
         for batch in batches:
-            for e, shard, covered, twice, tails in zip(*(c.to_pylist() for c in batch.columns)):
+            for e, shard, covered, twice, change in zip(*(c.to_pylist() for c in batch.columns)):
                 if e != entity:
                     if entity is not None:
                         yield from state.rows(entity)
                     entity, state = e, _Periods()
-                state.add(shard, (to_bits(covered), to_bits(twice)), tails)
+                state.add(shard, (to_bits(covered), to_bits(twice)), change)
         if entity is not None:
             yield from state.rows(entity)
 
@@ -194,7 +213,7 @@ def continuous_periods(intervals: DataFrame) -> DataFrame:
 
     Skew: rows become bitmaps before the first shuffle, which is by entity and source, so an entity with a
     third of all rows is united in every task; the second shuffle carries one pair of bitmaps per task,
-    entity and shard. An interval costs a bitmap for each shard it overlaps.
+    entity and shard. An interval costs at most three bitmaps, however long it is.
     """
     rows = intervals.where("entity is not null and lo is not null and (hi is null or hi > lo)").select("entity", F.coalesce("source", F.lit("\0")).alias("source"), "lo", "hi")
     united = rows.mapInArrow(_local_bitmaps, _LOCAL).repartition("entity", "source").mapInArrow(_unite_sources, _UNITED)
