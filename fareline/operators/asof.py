@@ -55,7 +55,7 @@ def _bucket_join(payload: Sequence[str], out: pa.Schema):
     def run(events: pa.Table, versions: pa.Table) -> pa.Table:
         import duckdb
 
-        with duckdb.connect(":memory:", config={"threads": 1}) as db:
+        with duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""}) as db:
             db.register("events", events)
             db.register("versions", versions)
             # __rank: the priority order as one number
