@@ -636,6 +636,7 @@ def stream_tumbling_counts(events):
 
 @query("SELECT vehicle_id, time_bucket(INTERVAL 3 MINUTE, event_time, TIMESTAMP '1970-01-01') AS window_start, max(event_time) AS event_time, arg_max(event_type, event_time) AS event_type FROM gps_events WHERE vehicle_id <> '' GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 1")
 def stream_latest_positions(gps_events):
+    """The last event of the vehicle windows with one event_type; ``stream_latest_positions_all`` has every window."""
     rows = gps_events.where("vehicle_id != ''")
     one = rows.groupBy("vehicle_id", F.window("event_time", "3 minutes")["start"].alias("window_start")).agg(F.countDistinct("event_type").alias("types")).where("types = 1").drop("types")
     last = live.latest_positions(rows, "vehicle_id", "event_time", ["event_type"])
@@ -643,6 +644,13 @@ def stream_latest_positions(gps_events):
     return kept.select("vehicle_id", F.col("window_start").cast("timestamp_ntz"), F.col("event_time").cast("timestamp_ntz"), "event_type")
 
 
+@query("SELECT vehicle_id, time_bucket(INTERVAL 3 MINUTE, event_time, TIMESTAMP '1970-01-01') AS window_start, max(event_time) AS event_time, first(event_type ORDER BY event_time DESC, event_id DESC NULLS LAST, event_type DESC NULLS LAST) AS event_type FROM gps_events WHERE vehicle_id <> '' AND event_time IS NOT NULL GROUP BY 1, 2")
+def stream_latest_positions_all(gps_events):
+    """The last event of every vehicle window; of several at the last instant the one with the greatest event_id, then event_type."""
+    last = live.latest_positions(gps_events.where("vehicle_id != ''"), "vehicle_id", "event_time", ["event_type"], tie=["event_id", "event_type"])
+    return last.select("vehicle_id", F.col("window_start").cast("timestamp_ntz"), F.col("event_time").cast("timestamp_ntz"), "event_type")
+
+
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, i")
 def stream_sessions(events):
     return live.sessions(events, "user_id", "ts").withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,14 @@ def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
 
 
-def latest_positions(events: DataFrame, entity: str, at: str, columns: list[str], window: str = "3 minutes", late: str = "10 minutes") -> DataFrame:
-    """The last event of each entity per window; events later than ``late`` are dropped by the watermark."""
+def latest_positions(events: DataFrame, entity: str, at: str, columns: list[str], window: str = "3 minutes", late: str = "10 minutes", tie: Sequence[str] = ()) -> DataFrame:
+    """The last event of each entity per window; events later than ``late`` are dropped by the watermark.
+
+    Of several at the last instant the one with the greatest ``tie`` columns counts (null is least); without
+    them, or where they agree as well, any one.
+    """
     marked = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
-    return marked.groupBy(F.window(at, window), entity).agg(F.max_by(F.struct(at, *columns), F.col(at)).alias("r")).select(entity, F.col("window.start").alias("window_start"), "r.*")
+    return marked.groupBy(F.window(at, window), entity).agg(F.max_by(F.struct(at, *columns), F.struct(at, *tie)).alias("r")).select(entity, F.col("window.start").alias("window_start"), "r.*")
 
 
 def tumbling_counts(events: DataFrame, at: str, keys: list[str], window: str = "1 hour", slide: str | None = None, late: str = "1 day") -> DataFrame:

@@ -91,3 +91,13 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in live.tumbling_counts(batch, "at", ["v"]).collect()) == 6
     inside, outside = live.split_late(batch.selectExpr("*", "date'2024-01-01' as day"), "at", "day", -1, 1)
     assert (inside.count(), outside.count()) == (6, 0)
+
+
+def test_latest_positions_of_every_window(spark, tmp_path):
+    from fareline.plans.catalog import QUERIES
+
+    t = dt.datetime(2024, 1, 1)
+    events = [("a", "v", t, "stop"), ("b", "v", t + dt.timedelta(seconds=9), "move"), ("d", "w", t, "stop"), ("c", "w", t, "move"), ("e", "x", t, "stop")]
+    spark.createDataFrame(events, "event_id string, vehicle_id string, event_time timestamp_ntz, event_type string").write.parquet(str(tmp_path / "gps_events.parquet"))
+    last = QUERIES["stream_latest_positions_all"](spark, str(tmp_path))
+    assert sorted((r.vehicle_id, r.event_type) for r in last.collect()) == [("v", "move"), ("w", "stop"), ("x", "stop")]
