@@ -530,6 +530,12 @@ SQL |= {
 }
 
 
+# the rule of R15 where a null valid_to means no end, as the tables define it; kept apart from RULES, whose summary has a twin
+OPEN_INTERVALS = Q.Rule("R15", "overlapping_intervals", "schedules", params=RULES["overlapping_intervals"].params | {"open_end": True})
+QUERIES["dq_overlapping_intervals_open"] = _rule_query(OPEN_INTERVALS)
+SQL["dq_overlapping_intervals_open"] = _violation("R15", "schedules", "schedule_id", "'valid_from'", "CAST(valid_from AS VARCHAR)", "1", "(SELECT *, max(coalesce(valid_to, DATE '9999-12-31')) OVER (PARTITION BY route_id, service_id, direction, period ORDER BY valid_from NULLS FIRST, valid_to NULLS LAST, schedule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM schedules) WHERE valid_from < reach")
+
+
 def dq_unparseable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarantined lines of raw_records as violations of the tables they belong to."""
     from fareline.plans.problems import parsed_records, split_failed

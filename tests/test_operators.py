@@ -176,3 +176,11 @@ def test_peaks_come_from_earlier_days(spark, rows):
     out = X.peak_share(df, "e", "d", "h", "k", "n", least=0.5)
     assert rows(out.where(F.col("d") == day(0)), "h", "share_asof") == [(8, None), (9, None)]
     assert rows(out.where(F.col("d") == day(2)), "h", "is_peak") == [(8, True), (9, False)]
+
+
+def test_open_ended_intervals_overlap_what_begins_later(spark, rows):
+    s = spark.createDataFrame([("a", "g", 1, None), ("b", "g", 5, 6), ("c", "g", 9, None), ("d", "h", 1, 4), ("e", "h", 4, None), ("f", "h", None, 2), ("i", "k", 3, None), ("j", "k", 3, 5)], "id string, g string, x int, y int")
+    c = Q.Catalog({"s": s}, {"s": ["id"]})
+    params = {"group_by": ["g"], "start": "x", "end": "y"}
+    assert [r[0] for r in rows(Q.run_rule(c, Q.Rule("R", "overlapping_intervals", "s", params=params | {"open_end": True})), "record_key")] == ["b", "c", "d", "i"]
+    assert [r[0] for r in rows(Q.run_rule(c, Q.Rule("R", "overlapping_intervals", "s", params=params)), "record_key")] == ["d"]
