@@ -537,7 +537,7 @@ SQL["dq_overlapping_intervals_open"] = _violation("R15", "schedules", "schedule_
 
 
 def dq_unparseable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarantined lines of raw_records as violations of the tables they belong to."""
+    """Lines of delays whose value fails, as violations with the value's detail; ``dq_unparseable_all`` has every failing line."""
     from fareline.plans.problems import parsed_records, split_failed
 
     failed = split_failed(parsed_records(spark, sf_dir)).where("table_name = 'delays' and reason = 'value'").distinct()
@@ -554,6 +554,68 @@ SQL["dq_unparseable"] = _LINES + _violation("R05", "delays", "CAST(record_id AS
 QUERIES |= {"dq_unparseable": dq_unparseable, "dq_summary": dq_summary}
 SQL["dq_summary"] = "SELECT rule_id, \"table\", count(*) AS records, sum(units)::BIGINT AS units FROM (" + " UNION ALL ".join(SQL[f"dq_{n}"] for n in RULES) + ") GROUP BY ALL"
 
+# the value tests of the lines, by table
+_TESTED = {"delays": "delay_minutes", "tickets": "entry_time", "passenger_counts": "boardings"}
+# places of the key and of trip_id in a line
+_PLACES = {"delays": ("delay_id", 2), "tickets": ("ticket_id", 3), "passenger_counts": ("count_id", 2)}
+UNPARSEABLE = [Q.Rule("R05", "unparseable", name, params={"columns": [column, "quoting", "columns"]}) for name, column in _TESTED.items()]
+
+
+def _failed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, table_name, reason, raw_line) of the lines that fail, each once."""
+    from fareline.plans.problems import parsed_records, split_failed
+
+    failed = split_failed(parsed_records(spark, sf_dir)).select("record_id", "table_name", "reason").distinct()
+    return failed.join(table(spark, sf_dir, "raw_records").select("record_id", "raw_line").distinct(), "record_id")
+
+
+def _unparseable(spark: SparkSession, sf_dir: str, failed: DataFrame) -> DataFrame:
+    lines = {
+        name: failed.where(F.col("table_name") == name).select(F.col("record_id").cast("string").alias(_PLACES[name][0]), F.when(F.col("reason") == "value", column).otherwise(F.col("reason")).alias("failed_columns"), F.col("raw_line").alias("raw_record"))
+        for name, column in _TESTED.items()
+    }
+    return Q.run_rules(Q.Catalog({n: table(spark, sf_dir, n) for n in lines}, _KEYS, lines), UNPARSEABLE)
+
+
+def dq_unparseable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every failing line of raw_records as a violation of its table: the column is the one whose value fails,
+    or 'quoting' or 'columns'; the key is the record_id, the observed value the whole line."""
+    return _unparseable(spark, sf_dir, _failed_lines(spark, sf_dir))
+
+
+def dq_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 15 checks. R11 and R14 also see quarantined children, as far as their fields are told apart (lines
+    that fail by a value); R15 reads a null end as no end."""
+    failed = _failed_lines(spark, sf_dir)
+
+    def field(i: int) -> Column:
+        f = F.get(F.regexp_extract_all(F.concat(F.lit(","), "raw_line"), F.lit(',("(?:[^"]|"")*"|[^",]*)'), F.lit(1)), F.lit(i - 1))
+        return F.nullif(F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f), F.lit(""))
+
+    children = {name: failed.where((F.col("table_name") == name) & (F.col("reason") == "value")).select(field(1).alias(key), field(trip).alias("trip_id")) for name, (key, trip) in _PLACES.items()}
+    c = Q.Catalog(_catalog(spark, sf_dir).tables, _KEYS, children)
+    rules = [r for name, r in RULES.items() if name != "overlapping_intervals"] + [OPEN_INTERVALS]
+    return Q.violation_summary(Q.run_rules(c, rules).unionByName(_unparseable(spark, sf_dir, failed)))
+
+
+QUERIES |= {"dq_unparseable_all": dq_unparseable_all, "dq_summary_all": dq_summary_all}
+
+
+def _field_sql(i: int) -> str:
+    return f"nullif(CASE WHEN fields[{i}] LIKE '\"%' THEN replace(substr(fields[{i}], 2, length(fields[{i}]) - 2), '\"\"', '\"') ELSE fields[{i}] END, '')"
+
+
+def _children_sql(name: str, *places: int) -> str:
+    return f"SELECT {', '.join(map(_field_sql, places))} FROM e WHERE table_name = '{name}' AND reason = 'value'"
+
+
+_UNPARSEABLE_SQL = " UNION ALL ".join(_violation("R05", name, "CAST(record_id AS VARCHAR)", f"CASE reason WHEN 'value' THEN '{column}' ELSE reason END", "raw_line", "1", f"e JOIN (SELECT record_id, raw_line FROM r) USING (record_id) WHERE table_name = '{name}' AND reason IS NOT NULL") for name, column in _TESTED.items())
+_MISSING_ALL = _violation("R11", "trips", "p", "'trip_id'", "o", "1", "(SELECT p, string_agg(DISTINCT c, ',' ORDER BY c) AS o FROM (" + " UNION ".join(f"SELECT trip_id AS p, '{n}' AS c FROM {n} UNION SELECT p, '{n}' FROM ({_children_sql(n, trip)}) AS q(p)" for n, (_, trip) in _PLACES.items()) + ") WHERE p IS NOT NULL AND p NOT IN (SELECT trip_id FROM trips WHERE trip_id IS NOT NULL) GROUP BY 1)")
+_CHILDREN_ALL = _violation("R14", "passenger_counts", "count_id", "'card_taps'", "CAST(card_taps AS VARCHAR)", "card_taps - coalesce(n, 0)", f"passenger_counts LEFT JOIN (SELECT trip_id, count(DISTINCT ticket_id) AS n FROM (SELECT trip_id, ticket_id FROM tickets UNION ALL {_children_sql('tickets', 3, 1)}) GROUP BY 1) USING (trip_id) WHERE card_taps > coalesce(n, 0)")
+_SUMMARY_ALL = {n: SQL[f"dq_{n}"] for n in RULES} | {"missing_parent": _MISSING_ALL, "count_vs_children": _CHILDREN_ALL, "overlapping_intervals": SQL["dq_overlapping_intervals_open"], "unparseable": _UNPARSEABLE_SQL}
+SQL["dq_unparseable_all"] = _LINES + _UNPARSEABLE_SQL
+SQL["dq_summary_all"] = _LINES + "SELECT rule_id, \"table\", count(*) AS records, sum(units)::BIGINT AS units FROM (" + " UNION ALL ".join(_SUMMARY_ALL.values()) + ") GROUP BY ALL"
+
 _CLEAN_RULES = [
     Q.Rule("C1", "value_range", "delays", action="correct", params={"column": "delay_minutes", "low": -60, "high": 600}),
     Q.Rule("C2", "required_value", "delays", action="correct", params={"column": "route_id"}),

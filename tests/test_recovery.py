@@ -59,3 +59,16 @@ def test_lines_to_typed_rows(spark, rows):
     assert rows(parsed, "record_id", "reason") == [(1, None), (2, "quoting"), (3, "table"), (4, "table"), (5, None)]
     assert rows(typed(parsed, C, "t", "record_id", ["string", "string", "int"])) == [(1, "K1", "a", 5), (5, "K3", None, None)]
     assert parse_lines(lines.limit(0), {"t": C}, "record_id").count() == 0
+
+
+def test_every_failing_line_is_a_violation_of_its_table(spark, tmp_path):
+    from fareline.plans.catalog import QUERIES
+
+    lines = [(1, "delays", "D1,a"), (2, "tickets", "K2" + "," * 7 + "soon" + "," * 5), (3, "passenger_counts", 'C3,"x' + "," * 9), (4, "passenger_counts", "C4,t,r,,v,many" + "," * 5), (5, "tickets", "K5" + "," * 12)]
+    spark.createDataFrame(lines, "record_id long, table_name string, raw_line string").write.parquet(str(tmp_path / "raw_records.parquet"))
+    for name in ("delays", "tickets", "passenger_counts"):
+        spark.createDataFrame([], "trip_id string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = QUERIES["dq_unparseable_all"](spark, str(tmp_path)).collect()
+    text = {str(i): line for i, _, line in lines}
+    assert sorted((r.record_key, r.table, r.column) for r in found) == [("1", "delays", "columns"), ("2", "tickets", "entry_time"), ("3", "passenger_counts", "quoting"), ("4", "passenger_counts", "boardings")]
+    assert all(r.observed_value == text[r.record_key] for r in found)
