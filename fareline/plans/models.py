@@ -126,16 +126,16 @@ def cluster(df: DataFrame, numbers: Sequence[str], ks: Sequence[int] = (3, 4, 5)
 def forecast(history: DataFrame, entity: str, day: str, value: str, horizon: int, period: int = 7) -> DataFrame:
     """(entity, day, value) for ``horizon`` days after an entity's last one.
 
-    Each day is the mean of the four last values a multiple of ``period`` days before, forecasts included: a
-    recursion that never needs a loop over days, as a day depends on its own weekday alone. Within a weekday
+    Each day is the mean of the four last values a multiple of ``period`` days before, however long ago,
+    forecasts included: a recursion that never needs a loop over days, as a day depends on its own weekday alone. Within a weekday
     the recursion is unrolled over the (few) steps of the horizon.
     """
     from pyspark.sql import Window
 
     rows = history.where(F.col(value).isNotNull())
     last = rows.groupBy(entity).agg(F.max(day).alias("__last"))
-    near = rows.join(last, entity).withColumn("__age", F.datediff("__last", day)).where(F.col("__age") < 12 * period)
-    slot = near.withColumn("__slot", F.pmod(-F.col("__age"), F.lit(period)))
+    aged = rows.join(last, entity).withColumn("__age", F.datediff("__last", day))
+    slot = aged.withColumn("__slot", F.pmod(-F.col("__age"), F.lit(period)))
     order = Window.partitionBy(entity, "__slot").orderBy("__age")
     recent = slot.withColumn("__n", F.row_number().over(order)).where("__n <= 4")
     base = recent.groupBy(entity, "__last", "__slot").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__n"), F.col(value).cast("double").alias("x")))), lambda s: s["x"]).alias("h"))

@@ -184,3 +184,10 @@ def test_open_ended_intervals_overlap_what_begins_later(spark, rows):
     params = {"group_by": ["g"], "start": "x", "end": "y"}
     assert [r[0] for r in rows(Q.run_rule(c, Q.Rule("R", "overlapping_intervals", "s", params=params | {"open_end": True})), "record_key")] == ["b", "c", "d", "i"]
     assert [r[0] for r in rows(Q.run_rule(c, Q.Rule("R", "overlapping_intervals", "s", params=params)), "record_key")] == ["d"]
+
+
+def test_forecast_takes_a_weekdays_last_values_however_old(spark, rows):
+    from fareline.plans.models import forecast
+
+    history = spark.createDataFrame([("r", day(0), 5.0), ("r", day(7), 7.0), ("r", day(141), 9.0)], "e string, d date, x double")
+    assert rows(forecast(history, "e", "d", "x", 7), "d", "x") == [(day(147), 6.0), (day(148), 9.0)]
