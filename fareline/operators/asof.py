@@ -89,6 +89,7 @@ def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, s
     Skew: entities with over max_rows events are split into time shards at approximate quantiles of their own
     events. An open version goes to its own shard and, if it is the best of those that began earlier, to each
     later shard; a bounded one to the shards it overlaps. So neither side of an entity meets in one task.
+    Events with a null key are spread over all tasks by a hash of the row.
     """
     if clash := {*payload, known} & set(events.columns):
         raise ValueError(f"columns on both sides: {sorted(map(str, clash))}")
@@ -103,13 +104,16 @@ def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, s
         e, v = _time_shards(e, v, counts, max(max_rows, total // 4096), payload)
     n = max(shuffle_partitions(spark), -(-total // max_rows))
     bucket = F.pmod(F.xxhash64("__key", "__shard"), F.lit(n)).alias("__b")
+    # events with a null key need no versions: any bucket, by a hash of the row
+    any_bucket = F.pmod(F.xxhash64(*[c for c, kind in events.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(n))
+    event_bucket = F.when(F.col("__key").isNull(), any_bucket).otherwise(bucket).alias("__b")
     fields = [*events.schema.fields, *(versions.schema[c] for c in payload)]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BooleanType, StructField, StructType
 
     schema = StructType([*fields, StructField("__known", BooleanType())])
     run = _bucket_join(tuple(payload), to_arrow_schema(schema))
-    joined = e.select("*", bucket).groupBy("__b").cogroup(v.select("*", bucket).groupBy("__b")).applyInArrow(run, schema)
+    joined = e.select("*", event_bucket).groupBy("__b").cogroup(v.select("*", bucket).groupBy("__b")).applyInArrow(run, schema)
     return joined.withColumnRenamed("__known", known) if known else joined.drop("__known")
 
 

@@ -54,3 +54,18 @@ def test_clashing_names_are_refused(spark):
 def test_timeline_resolves_ties_before_the_join():
     keys, times, rows = current_states(["a", "a", "a"], [1, 1, 4], [None, 3, None], [1, 2, 3])
     assert list(zip(times, rows)) == [(1, 1), (3, 0), (4, 2)]
+
+
+def test_events_with_a_null_key_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    events = [(None, i % 7, i) for i in range(1000)] + [("a", 5, 2000)]
+    versions = [("a", 1, None, 1, "v")]
+    assert run(spark, events, versions, 1000) == brute(events, versions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        e, v = spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS)
+        out = state_asof_join(e, v, "k", "at", "start", ["p"], ["v"], end="end")
+        assert max(r["count"] for r in out.where("k is null").groupBy(F.spark_partition_id()).count().collect()) < 800
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
