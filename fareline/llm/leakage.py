@@ -204,11 +204,14 @@ def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id",
     units and names. Null and short texts hold none; a document or item that occurs twice counts for itself.
 
     The items' windows are broadcast as long as the texts have at most BROADCAST_CHARS characters; the
-    documents are then read once, without a shuffle. Beyond, see ``leaked_passages_shuffled``.
+    documents are then read once, without a shuffle. Beyond, see ``leaked_passages_shuffled``; renamed windows are
+    not counted there, so least_literals > 0 is a ValueError.
     """
     spark = documents.sparkSession
     rows = items.where(F.col(item_text).isNotNull())
     if (rows.agg(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0) > BROADCAST_CHARS:
+        if least_literals > 0:
+            raise ValueError(f"renamed windows are not counted for items over {BROADCAST_CHARS} characters")
         return leaked_passages_shuffled(documents, items, key, text, item_key, item_text)
     # keyed by place: item ids may repeat
     listed = [(r[0], canonical(r[1])) for r in rows.select(item_key, item_text).collect()]

@@ -66,3 +66,10 @@ def test_slots_must_be_renamed_one_to_one():
     assert slots_consistent(["5", "x", "5"], ["7", "x", "7"], [N, L, N])
     assert not slots_consistent(["5", "x", "6"], ["7", "x", "7"], [N, L, N])
     assert not slots_consistent(["5", "x", "5"], ["7", "x", "8"], [N, L, N])
+
+
+def test_renamed_passages_of_too_many_items_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BROADCAST_CHARS", 0)
+    d, i = frames(spark, DOCS)
+    with pytest.raises(ValueError):
+        leaked_passages(d, i, least_literals=5)
