@@ -104,40 +104,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(codes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """A hash for each window of WINDOW codes, or for those that begin at the given places."""
-    n = len(codes) - WINDOW + 1 if at is None else len(at)
+def window_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash for each window of WINDOW codes."""
+    n = len(codes) - WINDOW + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    hashed = _mix(codes.astype(np.uint64)) if at is None else codes.astype(np.uint64)
+    hashed = _mix(codes.astype(np.uint64))
     out = np.zeros(n, dtype=np.uint64)
     for j in range(WINDOW):
         out *= np.uint64(0x100000001B3)
-        out += hashed[j : j + n] if at is None else _mix(hashed[at + j])
+        out += hashed[j : j + n]
     return _mix(out)
 
 
 class Index:
     """The items' template windows: hash to (item, position), behind a bit table."""
 
-    BITS = 22
+    BITS, SLOT = 22, 4
 
     def __init__(self, items: dict[int, str]):
         self.templates = Templates(items)
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.exact_at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.codes: dict[int, np.ndarray] = {}
+        # exact codes as bytes, SLOT for each word
+        self.values: dict[int, bytes] = {}
         self.types: dict[int, list[int]] = {}
         codes = _Codes(self.templates)
         for item, words in self.templates.words.items():
             packed = np.array([codes[w] for w in words], dtype=np.int64)
             # names are told by the lexicon here, so folded words have the codes of written ones
-            self.codes[item] = packed
+            self.values[item] = packed.astype(np.uint32).tobytes()
             self.types[item] = (packed >> 32).tolist()
             for position, h in enumerate(window_hashes(packed >> 32).tolist()):
                 self.at[h].append((item, position))
-            for position, h in enumerate(window_hashes(packed & 0xFFFFFFFF).tolist()):
-                self.exact_at[h].append((item, position))
         self.hashes = np.array(sorted(self.at), dtype=np.uint64)
         self.table = np.zeros(1 << self.BITS, dtype=bool)
         self.table[self.hashes >> np.uint64(64 - self.BITS)] = True
@@ -173,13 +171,12 @@ def _probe(index: Index, ids: list, forms: list[str], codes: _Codes, least_liter
     owner = np.searchsorted(starts, at, side="right") - 1
     inside = at + WINDOW <= starts[owner + 1]
     at, hashes, owner = at[inside], hashes[inside], owner[inside]
-    exact = packed & 0xFFFFFFFF
-    same = window_hashes(exact, at)
+    exact = packed.astype(np.uint32)
     counts: dict[tuple[int, int], list[int]] = {}
-    for i, h, x, d in zip(at.tolist(), hashes.tolist(), same.tolist(), owner.tolist()):
-        held = set()
-        for item, position in index.exact_at.get(x, ()):
-            if (exact[i : i + WINDOW] == index.codes[item][position : position + WINDOW] & 0xFFFFFFFF).all():
+    for i, h, d in zip(at.tolist(), hashes.tolist(), owner.tolist()):
+        held, values = set(), exact[i : i + WINDOW].tobytes()
+        for item, position in index.at[h]:
+            if values == index.values[item][position * index.SLOT : (position + WINDOW) * index.SLOT]:
                 counts.setdefault((d, item), [0, 0])[0] += 1
                 held.add((item, position))
         if not least_literals:

@@ -73,3 +73,13 @@ def test_renamed_passages_of_too_many_items_are_refused(spark, monkeypatch):
     d, i = frames(spark, DOCS)
     with pytest.raises(ValueError):
         leaked_passages(d, i, least_literals=5)
+
+
+def test_candidates_come_from_the_template_index_alone():
+    forms = {i: canonical(t) for i, t in ITEMS if t}
+    index = leakage.Index(forms)
+    codes = leakage._Codes(index.templates)
+    found = leakage._probe(index, ["d"], [forms[1]], codes, 0)
+    assert [x[:2] for x in found] == [("d", 1)] and found[0][2] == len(passages(ITEM))
+    index.at = {h: [] for h in index.at}
+    assert leakage._probe(index, ["d"], [forms[1]], codes, 0) == []
