@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fareline.llm.canonical import canonical_sql, canonical_texts, look_alike_classes, look_alike_pairs
-from fareline.llm.leakage import leaked_passages
+from fareline.llm.leakage import leaked_passages, renamed_passages, template_classes
 from fareline.llm.packing import pack, token_counts
 from fareline.session import table
 
@@ -25,14 +25,17 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return found.where("exact_windows > 0").select("doc_id", "item_id").distinct()
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with an item's passage under other numbers, names or units, though not word by word."""
-    found = leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), least_literals=6)
-    return found.where("exact_windows = 0 and renamed_windows > 0").select("doc_id", "item_id", "renamed_windows")
+    """Documents with an item's passage under other numbers, names or units: a row per document and template class."""
+    return renamed_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of each template class."""
+    return template_classes(table(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_sequences": p7_sequences, "p7_fill": p7_fill, "p8_found": p8_found, "p8_renamed": p8_renamed, "p9_found": p9_found, "p9_texts": p9_texts}
+QUERIES = {"p7_sequences": p7_sequences, "p7_fill": p7_fill, "p8_found": p8_found, "p8_renamed": p8_renamed, "p8_classes": p8_classes, "p9_found": p9_found, "p9_texts": p9_texts}
 
 #: Blocks of Unicode that the SQL twins map: Latin, marks, Greek, Cyrillic, punctuation, ligatures, full width.
 BLOCKS = ((0x80, 0x250), (0x300, 0x530), (0x2000, 0x2070), (0x2212, 0x2213), (0x3000, 0x3001), (0xFB00, 0xFB07), (0xFE00, 0xFE10), (0xFEFF, 0xFF5F))
