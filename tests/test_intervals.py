@@ -49,14 +49,32 @@ def _here(data):
     rows = [(e, s or "\0", lo, hi) for e, s, lo, hi in data if e is not None and lo is not None and (hi is None or hi > lo)]
     batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["entity", "source", "lo", "hi"])
     local = pa.Table.from_batches(I._local_bitmaps([batch]))
-    united = pa.Table.from_batches(I._unite_sources(local.to_batches())).sort_by([("entity", "ascending"), ("shard", "ascending")])
-    out = pa.Table.from_batches(I._periods(united.to_batches())).to_pylist()
+    united = pa.Table.from_batches(I._unite_sources(local.sort_by([("entity", "ascending"), ("source", "ascending")]).to_batches(max_chunksize=7))).sort_by([("entity", "ascending")])
+    out = pa.Table.from_batches(I._periods(united.to_batches(max_chunksize=5))).to_pylist()
     return sorted(((r["entity"], r["lo"], r["hi"], r["shared"], r["next_lo"], r["hi"] is None) for r in out), key=repr)
 
 
-def test_runs_round_trip():
-    for bits in (0, 1, 0b1011001, (1 << 1024) - 1, 1 << 1023):
-        assert I.to_bits(I.to_runs(bits)) == bits
+def test_runs_of_levels():
+    import numpy as np
+
+    group, at, level = I.levels(np.array([0, 0, 1, 1, 0, 0]), np.array([3, 5, 2, 4, 5, 9]), np.array([1, -1, 1, 1, 1, -1]))
+    assert list(zip(group, at, level)) == [(0, 3, 1), (0, 5, 1), (0, 9, 0), (1, 2, 1), (1, 4, 2)]
+    g, a, b, _ = I.runs_at(group, at, level, 1)
+    assert list(zip(g, a, b)) == [(0, 3, 9), (1, 2, I.NONE)]
+    none = np.zeros(0, dtype=np.int64)
+    assert [len(x) for x in I.runs_at(*I.levels(none, none, none), 1)] == [0, 0, 0, 0]
+    lists = I.to_lists(3, np.array([0, 2, 2]), np.array([1, 4, 9]), np.array([2, 3, 1]))
+    assert lists.to_pylist() == [[1, 2], [], [4, 3, 9, 1]]
+    assert [x.tolist() for x in I.from_lists(lists)] == [[0, 2, 2], [1, 4, 9], [2, 3, 1]]
+
+
+@pytest.mark.parametrize("held", [1, 40])
+def test_small_tasks(monkeypatch, held):
+    monkeypatch.setattr(I, "SHARD", 8)
+    monkeypatch.setattr(I, "HELD", held)
+    rng = random.Random(held)
+    data = [(rng.choice("ab"), rng.choice("stuv"), lo := rng.randrange(400), None if rng.random() < 0.03 else lo + rng.choice([1, 5, 30, 90])) for _ in range(150)]
+    assert _here(data) == brute(data)
 
 
 def test_touching_and_far(spark):
