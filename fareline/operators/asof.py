@@ -86,10 +86,10 @@ def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, s
     Payload names must not occur among the events' columns (ValueError). ``hot``: the result of ``hot_keys`` for
     the key, if it was counted before.
 
-    Skew: entities with over max_rows events are split into time shards at approximate quantiles of their own
-    events. An open version goes to its own shard and, if it is the best of those that began earlier, to each
-    later shard; a bounded one to the shards it overlaps. So neither side of an entity meets in one task.
-    Events with a null key are spread over all tasks by a hash of the row.
+    Skew: entities with over max_rows events or versions are split into time shards at approximate quantiles of
+    their own events and of the starts and ends of their versions. A version goes to the shards it begins and ends
+    in; of those that cover a shard whole only the best goes there. So neither side of an entity meets in one
+    task. Events with a null key are spread over all tasks by a hash of the row.
     """
     if clash := {*payload, known} & set(events.columns):
         raise ValueError(f"columns on both sides: {sorted(map(str, clash))}")
@@ -98,11 +98,14 @@ def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, s
     v = versions.select(F.col(key).alias("__key"), F.col(start).alias("__start"), (F.col(end) if end else F.lit(None)).cast("long").alias("__end"), F.struct(*order).alias("__order"), *payload)
     v = v.where("__key is not null and __start is not null and (__end is null or __end > __start)")
     total, counts = hot or hot_keys(e, "__key", max_rows)
-    if not counts:
+    versions_total, versions_counts = hot_keys(v, "__key", max_rows)
+    if not counts and not versions_counts:
         e, v = e.withColumn("__shard", F.lit(0)), v.withColumn("__shard", F.lit(0))
     else:
-        e, v = _time_shards(e, v, counts, max(max_rows, total // 4096), payload)
-    n = max(shuffle_partitions(spark), -(-total // max_rows))
+        most = max(max_rows, total // 4096, versions_total // 2048)
+        cuts = [_cuts(e, "__t", counts, most), _cuts(v, "__start", versions_counts, most), _cuts(v, "__end", versions_counts, most)]
+        e, v = _time_shards(e, v, {k: sorted({x for c in cuts for x in c.get(k, ())}) for k in {k for c in cuts for k in c}}, payload)
+    n = max(shuffle_partitions(spark), -(-max(total, versions_total) // max_rows))
     bucket = F.pmod(F.xxhash64("__key", "__shard"), F.lit(n)).alias("__b")
     # events with a null key need no versions: any bucket, by a hash of the row
     any_bucket = F.pmod(F.xxhash64(*[c for c, kind in events.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(n))
@@ -117,30 +120,41 @@ def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, s
     return joined.withColumnRenamed("__known", known) if known else joined.drop("__known")
 
 
-def _time_shards(e: DataFrame, v: DataFrame, hot: dict[str, int], max_rows: int, payload: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _cuts(df: DataFrame, at: str, hot: dict[str, int], max_rows: int) -> dict[str, list[int]]:
+    """Quantiles of the hot keys' times, at most one per max_rows rows."""
+    if not hot:
+        return {}
     steps = {k: -(-n // max_rows) for k, n in hot.items()}
-    most = max(steps.values())
-    points = [i / 256 for i in range(1, 256)] if most <= 256 else [i / 4096 for i in range(1, 4096)]
-    found = e.where(F.col("__key").isin(list(hot))).groupBy("__key").agg(F.expr(f"percentile_approx(__t, array({', '.join(map(str, points))}), 20000)").alias("q")).collect()
-    # at most one boundary per max_rows events, so at most 4,096 in all
-    cuts = {r["__key"]: sorted({r["q"][max(0, round((len(points) + 1) * i / steps[r["__key"]]) - 1)] for i in range(1, steps[r["__key"]])}) for r in found if r["q"]}
+    of = 256 if max(steps.values()) <= 256 else 4096
+    points = ", ".join(str(i / of) for i in range(1, of))
+    found = df.where(F.col("__key").isin(list(hot))).groupBy("__key").agg(F.expr(f"percentile_approx({at}, array({points}), 20000)").alias("q")).collect()
+    return {r["__key"]: sorted({r["q"][max(0, round(of * i / steps[r["__key"]]) - 1)] for i in range(1, steps[r["__key"]])}) for r in found if r["q"]}
+
+
+def _time_shards(e: DataFrame, v: DataFrame, cuts: dict[str, list[int]], payload: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     side = e.sparkSession.createDataFrame([(k, c) for k, c in cuts.items() if c], "__key string, __cuts array<bigint>")
+
     def shard(t):
         return F.coalesce(F.size(F.filter("__cuts", lambda b: b <= t)), F.lit(0))
 
-    none = F.expr("cast(array() as array<bigint>)")
     e = e.join(F.broadcast(side), "__key", "left").withColumn("__shard", shard(F.coalesce("__t", F.lit(BEFORE_ALL)))).drop("__cuts")
-    v = v.join(F.broadcast(side), "__key", "left").withColumn("__cuts", F.coalesce("__cuts", none))
-    own = v.withColumns({"__first": shard(F.col("__start")), "__last": F.when(F.col("__end").isNull(), shard(F.col("__start"))).otherwise(shard(F.col("__end") - 1))})
-    spread = own.withColumn("__shard", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last", "__cuts")
-    # best open version per shard, then the running best of the shards before each; an entry marks the key as known
-    whole = F.struct("__order", "__start", *payload)
-    best = own.where("__end is null and size(__cuts) > 0").groupBy("__key", F.col("__first").alias("__shard")).agg(F.max_by(whole, "__order").alias("b"))
-    grid = side.select("__key", F.explode(F.sequence(F.lit(0), F.size("__cuts"))).alias("__shard")).join(best, ["__key", "__shard"], "left")
-    before = Window.partitionBy("__key").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    carry = grid.withColumn("b", F.max_by("b", F.col("b.__order")).over(before)).where("b is not null")
-    carried = carry.select("__key", F.col("b.__start").alias("__start"), F.lit(None).cast("long").alias("__end"), F.col("b.__order").alias("__order"), *[F.col(f"b.{c}").alias(c) for c in payload], "__shard")
+    v = v.join(F.broadcast(side), "__key", "left").withColumn("__cuts", F.coalesce("__cuts", F.expr("cast(array() as array<bigint>)")))
+    # covered whole: the shards between __shard and __last; the last shard of an open version is covered as well
+    own = v.withColumns({"__shard": shard(F.col("__start")), "__last": F.when(F.col("__end").isNull(), F.size("__cuts") + 1).otherwise(shard(F.col("__end") - 1))})
+    whole, fields = F.struct("__order", "__start", "__end", *payload), ("__start", "__end", "__order", *payload)
+    unpacked = ["__key", *[F.col(f"b.{c}").alias(c) for c in fields], "__shard"]
+    # of those that are in force when a shard begins and end in it at one instant, the best
+    ending = own.where("__end is not null and __last > __shard").groupBy("__key", F.col("__last").alias("__shard"), F.col("__end").alias("e")).agg(F.max_by(whole, "__order").alias("b")).select(*unpacked)
+    # of those that cover a shard, the best: as aligned blocks of 2**level shards, aggregated before they are spread
+    levels = max((len(c) + 1 for c in cuts.values()), default=1).bit_length()
+    inner = own.where("__shard + 1 < __last").select("__key", "__order", whole.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("l"), "__shard", "__last")
+    inner = inner.withColumns({"x": F.expr("shiftright(__shard + shiftleft(1, l), l)"), "y": F.expr("shiftright(__last, l)")})
+    blocks = inner.withColumn("i", F.explode(F.expr("array_compact(array(if(x < y and x % 2 = 1, x, null), if(x < y and y % 2 = 1, y - 1, null)))")))
+    best = blocks.groupBy("__key", "l", "i").agg(F.max_by("b", "__order").alias("b"))
+    spread = best.select("__key", "b", F.explode(F.expr("sequence(shiftleft(i, l), shiftleft(i + 1, l) - 1)")).alias("__shard"))
+    covering = spread.groupBy("__key", "__shard").agg(F.max_by("b", F.col("b.__order")).alias("b")).select(*unpacked)
     # a row without values in every shard of a key that has versions: the key is known there too
-    known = grid.select("__key", "__shard").join(own.select("__key").distinct(), "__key", "left_semi")
-    marks = known.select("__key", F.lit(BEFORE_ALL).alias("__start"), "__shard")
-    return e, spread.unionByName(carried).unionByName(marks, allowMissingColumns=True)
+    grid = side.select("__key", F.explode(F.sequence(F.lit(0), F.size("__cuts"))).alias("__shard"))
+    marks = grid.join(own.select("__key").distinct(), "__key", "left_semi").select("__key", F.lit(BEFORE_ALL).alias("__start"), "__shard")
+    starting = own.drop("__last", "__cuts")
+    return e, starting.unionByName(ending).unionByName(covering).unionByName(marks, allowMissingColumns=True)

@@ -69,3 +69,20 @@ def test_events_with_a_null_key_are_spread(spark):
         assert max(r["count"] for r in out.where("k is null").groupBy(F.spark_partition_id()).count().collect()) < 800
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_an_entity_with_many_versions_and_few_events_is_split(spark, seed):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(seed)
+    events = [(rng.choice(["hot", "a"]), rng.randrange(420), i) for i in range(60)]
+    versions = [("hot", s := rng.randrange(400), rng.choice([None, s + rng.randint(1, 400), 400]), rng.randint(0, 5), f"v{i}") for i in range(600)] + [("a", 3, None, 1, "va")]
+    assert run(spark, events, versions, 40) == brute(events, versions)
+    from fareline.operators import asof
+
+    e = spark.createDataFrame(events, EVENTS).selectExpr("k __key", "at __t", "id")
+    v = spark.createDataFrame(versions, VERSIONS).select(F.col("k").alias("__key"), F.col("start").alias("__start"), F.col("end").alias("__end"), F.struct("p", "v").alias("__order"), "v").where("__end is null or __end > __start")
+    cuts = asof._cuts(v, "__start", {"hot": 600}, 40)
+    _, spread = asof._time_shards(e, v, cuts, ["v"])
+    assert max(r["count"] for r in spread.where("__key = 'hot'").groupBy("__shard").count().collect()) < 150
