@@ -151,19 +151,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stops": parents_of(table(spark, sf_dir, "stops"), "stop_id", None, deleted("stops")),
         "vehicles": parents_of(table(spark, sf_dir, "vehicles"), "vehicle_id", "recorded_at", deleted("vehicles")),
     }
-    out = None
-    for child, field, record, day, at, parent in (
-        ("tickets", "trip_id", "ticket_id", "service_date", "received_at", "trips"),
-        ("tickets", "entry_stop_id", "ticket_id", "service_date", "received_at", "stops"),
-        ("passenger_counts", "vehicle_id", "count_id", "service_date", "received_at", "vehicles"),
-        ("routes", "origin_stop_id", "route_id", "launch_date", None, "stops"),
-    ):
-        rows = table(spark, sf_dir, child)
+    fields = (
+        ("tickets", "ticket_id", "service_date", "received_at", {"trip_id": "trips", "entry_stop_id": "stops"}),
+        ("passenger_counts", "count_id", "service_date", "received_at", {"vehicle_id": "vehicles"}),
+        ("routes", "route_id", "launch_date", None, {"origin_stop_id": "stops"}),
+    )
+    refs = None
+    for child, record, day, at, of in fields:
         when = F.col(at) if at else F.lit(None).cast("timestamp_ntz")
-        refs = rows.select(F.col(field).alias("key"), when.alias("at"), F.lit(child).alias("table_name"), F.lit(field).alias("field_name"), F.col(record).alias("record_key"), F.date_format(day, "yyyy-MM").alias("period"))
-        found = orphan_references(refs, parents[parent]).select("table_name", "field_name", "record_key", "period", "reason")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()  # copies of a record name the same reference: one row
+        each = F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(parent).alias("parent"), F.col(f).alias("key")) for f, parent in of.items()]))
+        rows = table(spark, sf_dir, child).select(F.lit(child).alias("table_name"), F.col(record).alias("record_key"), F.date_format(day, "yyyy-MM").alias("period"), when.alias("at"), each)
+        refs = rows if refs is None else refs.unionByName(rows)
+    # copies of a record name the same reference: one row
+    return orphan_references(refs, parents).select("table_name", "field_name", "record_key", "period", "reason").distinct()
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,9 +30,25 @@ def test_empty_tables(spark):
         orphans.orphan_references(refs.withColumn("reason", refs.key), orphans.parents_of(none, "k", None, deleted))
 
 
+def test_several_parents_in_one_pass(spark, monkeypatch):
+    none = spark.createDataFrame([], "key string, deleted_at timestamp_ntz")
+    one = orphans.parents_of(spark.createDataFrame([("a", T)], "k string, seen timestamp_ntz"), "k", "seen", none)
+    two = orphans.parents_of(spark.createDataFrame([("b", T)] * 3, "k string, seen timestamp_ntz"), "k", None, none)
+    refs = spark.createDataFrame([("a", T, "one", 1), ("a", T, "two", 2), ("b", T, "one", 3), ("b", T - HOUR, "two", 4), ("a", T - HOUR, "one", 5), ("a", T, "none", 6), ("a", T, None, 7)] + [("b", T, "two", 100 + i) for i in range(30)], "key string, at timestamp_ntz, parent string, id int")
+    for keys in (10, 2, 0):
+        monkeypatch.setattr(orphans, "BROADCAST_KEYS", keys)
+        found = orphans.orphan_references(refs, {"one": one, "two": two}, 5)
+        assert sorted((r.id, r.reason) for r in found.collect()) == [(2, "missing"), (3, "missing"), (5, "late")]
+
+
 def test_filter_has_no_false_negatives(spark):
+    from pyspark.sql import functions as F
+
     keys = spark.range(5000).selectExpr("cast(id as string) key")
-    probe = orphans.might_contain(spark, orphans.build_filter(keys, "key", 5000))
-    assert keys.where(~probe(keys.key)).count() == 0
+    few = spark.range(50_000, 50_010).selectExpr("cast(id as string) key")
+    probe = orphans.might_contain(spark, orphans.build_filters([(keys, 5000), (few, 10)]))
+    assert keys.where(~probe(keys.key, F.lit(0))).count() == 0
+    assert few.where(~probe(few.key, F.lit(1))).count() == 0
     others = spark.range(10_000, 30_000).selectExpr("cast(id as string) key")
-    assert others.where(probe(others.key)).count() < 600
+    assert others.where(probe(others.key, F.lit(0))).count() < 600
+    assert keys.where(probe(keys.key, F.lit(1))).count() < 200
