@@ -1,7 +1,8 @@
-"""Analytics statements over the transit tables: one text per result, for Spark SQL and DuckDB alike.
+"""Transit statements on trips alone: one text per result, for Spark SQL and DuckDB alike.
 
 ``ratio`` guards every division; shares leave unmeasured rows out; ranks and picks have tie-breaks; results
-are rounded only at the end. ``WITH`` clauses (``BASE``) give the common relations.
+are rounded only at the end. The common relations come from ``marts`` in Spark and from a text written by hand in
+DuckDB. Statements that need more than trips are in ``transit``, with twins of their own.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fareline.plans import transit
 from fareline.plans.dialect import DuckDB, Spark
-from fareline.session import table
+from fareline.plans.marts import mart
+from fareline.plans.transit import register
 
-TABLES = ("routes", "schedules", "vehicles", "trips", "passenger_counts", "tickets", "delays", "gps_events", "stops")
 STATEMENTS: dict[str, Callable[[object], str]] = {}
 
 
@@ -30,63 +32,9 @@ def share(condition: str, measured: str) -> str:
     return f"avg(CASE WHEN {condition} THEN 1e0 WHEN {measured} IS NOT NULL THEN 0e0 END)"
 
 
-PERIOD = "CASE WHEN h <= 6 THEN 'early' WHEN h <= 9 THEN 'am_peak' WHEN h <= 15 THEN 'midday' WHEN h <= 18 THEN 'pm_peak' ELSE 'evening' END"
-BAND = "CASE WHEN occupancy IS NULL THEN NULL WHEN occupancy < 0.25 THEN 'low' WHEN occupancy < 0.75 THEN 'normal' WHEN occupancy < 1.0 THEN 'high' ELSE 'over' END"
-
-
 def base(q) -> str:
-    """t: a trip per row with its count, mean delay, capacity and day labels; k: a tap per row."""
-    return f"""
-WITH trip AS (SELECT DISTINCT * FROM trips),
-counted AS (
-  SELECT trip_id, max(boardings) AS boardings, max(max_load) AS max_load, max(denied_boardings) AS denied
-  FROM passenger_counts WHERE boardings >= 0 AND max_load BETWEEN 0 AND 400 GROUP BY trip_id),
-late AS (
-  SELECT trip_id, avg(delay_minutes) AS delay FROM (SELECT DISTINCT * FROM delays) d WHERE delay_minutes BETWEEN -60 AND 600 GROUP BY trip_id),
-fleet AS (
-  SELECT vehicle_id, max_by(capacity_total, {q.tup("effective_from", "recorded_at", "version_id")}) AS capacity FROM vehicles GROUP BY vehicle_id),
-t0 AS (
-  SELECT trip.trip_id, trip.route_id, trip.direction, trip.service_date, trip.vehicle_id, trip.schedule_id, trip.trip_status, trip.scheduled_departure, trip.actual_departure,
-    CAST(hour(trip.scheduled_departure) AS INT) AS h, {q.month("trip.service_date")} AS ym, {q.dow("trip.service_date")} AS dow, {q.day("trip.service_date")} AS day_no,
-    {q.minutes("trip.scheduled_departure", "trip.scheduled_arrival")} AS planned, {q.minutes("trip.actual_departure", "trip.actual_arrival")} AS travelled,
-    {q.minutes("trip.scheduled_arrival", "trip.actual_arrival")} AS arrival_late, {q.minutes("trip.scheduled_departure", "trip.actual_departure")} AS departure_late,
-    boardings, max_load, denied, delay, capacity, {ratio("max_load", "capacity")} AS occupancy
-  FROM trip LEFT JOIN counted ON trip.trip_id = counted.trip_id LEFT JOIN late ON trip.trip_id = late.trip_id LEFT JOIN fleet ON trip.vehicle_id = fleet.vehicle_id
-  WHERE trip.route_id <> ''),
-t AS (
-  SELECT *, {PERIOD} AS period, CASE WHEN dow IN (1, 7) THEN 'weekend' ELSE 'weekday' END AS day_class, {BAND} AS band FROM t0),
-k AS (
-  SELECT DISTINCT ticket_id, passenger_id, trip_id, route_id, service_date, entry_stop_id, exit_stop_id, entry_time, exit_time, fare_category
-  FROM tickets WHERE trip_id <> '' AND entry_stop_id <> '')"""
-
-
-@statement
-def an_trip_view(q) -> str:
-    return base(q) + " SELECT trip_id, route_id, direction, service_date, h, period, day_class, ym, boardings, max_load, round(delay, 6) AS delay, capacity, round(occupancy, 6) AS occupancy, band, round(planned, 6) AS planned, round(travelled, 6) AS travelled FROM t"
-
-
-@statement
-def an_ticket_view(q) -> str:
-    d = "2e0 * 6371e0 * asin(least(1e0, sqrt(pow(sin(radians(b.latitude - a.latitude) / 2e0), 2e0) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2e0), 2e0))))"
-    return base(q) + f"""
-SELECT k.ticket_id, k.passenger_id, t.period, t.day_class, a.zone AS entry_zone, b.zone AS exit_zone, round({q.minutes("k.entry_time", "k.exit_time")}, 6) AS ride_min, round({d}, 4) AS distance_km
-FROM k JOIN t ON k.trip_id = t.trip_id JOIN stops a ON k.entry_stop_id = a.stop_id JOIN stops b ON k.exit_stop_id = b.stop_id"""
-
-
-@statement
-def an_expansion_factor(q) -> str:
-    f = ratio
-    return base(q) + f""",
-taps AS (SELECT trip_id, count(*) AS n FROM k GROUP BY trip_id),
-cell AS (
-  SELECT route_id, ym, period, sum(boardings) AS counted, sum(CASE WHEN boardings IS NOT NULL THEN coalesce(n, 0) END) AS taps
-  FROM t LEFT JOIN taps ON t.trip_id = taps.trip_id GROUP BY route_id, ym, period),
-route_month AS (SELECT route_id, ym, sum(counted) AS counted, sum(taps) AS taps FROM cell GROUP BY route_id, ym),
-month AS (SELECT ym, sum(counted) AS counted, sum(taps) AS taps FROM cell GROUP BY ym)
-SELECT c.route_id, c.ym, c.period, CAST(c.counted AS BIGINT) AS counted, CAST(c.taps AS BIGINT) AS taps,
-  round(CASE WHEN c.taps >= 30 THEN {f("c.counted", "c.taps")} WHEN r.taps >= 30 THEN {f("r.counted", "r.taps")} ELSE {f("m.counted", "m.taps")} END, 6) AS factor,
-  CASE WHEN c.taps >= 30 THEN 'cell' WHEN r.taps >= 30 THEN 'route_month' ELSE 'month' END AS factor_level
-FROM cell c JOIN route_month r ON c.route_id = r.route_id AND c.ym = r.ym JOIN month m ON c.ym = m.ym"""
+    """t: a trip per row; k: a tap per row. In Spark the stored relations of the mart, in DuckDB the twin's own."""
+    return q.base()
 
 
 @statement
@@ -110,52 +58,6 @@ SELECT route_id, direction, period, count(*) AS trips, count(CASE WHEN state = '
 FROM ({an_headway(q)}) x GROUP BY route_id, direction, period"""
 
 
-def _events(q) -> str:
-    """demand per route and day against the median of the same weekday, 56 to 7 days before."""
-    w = "PARTITION BY route_id, dow ORDER BY day_no RANGE BETWEEN 56 PRECEDING AND 7 PRECEDING"
-    return base(q) + f""",
-run_day AS (
-  SELECT route_id, service_date, dow, day_no, sum(boardings) AS boardings, count(boardings) AS measured, count(CASE WHEN trip_status <> 'cancelled' THEN 1 END) AS operated
-  FROM t GROUP BY route_id, service_date, dow, day_no),
-demand AS (SELECT route_id, service_date, dow, day_no, {ratio("boardings", "measured")} * operated AS demand FROM run_day WHERE measured > 0),
-hist AS (SELECT *, count(demand) OVER ({w}) AS n, {q.history_median("demand", w)} AS expected FROM demand),
-events AS (
-  SELECT route_id, service_date, demand, n, expected, {ratio("demand", "expected")} AS against,
-    CASE WHEN n < 4 THEN 'unknown' WHEN {ratio("demand", "expected")} >= 1.5 THEN 'spike' WHEN {ratio("demand", "expected")} <= 0.5 THEN 'drop' ELSE 'normal' END AS state FROM hist)"""
-
-
-@statement
-def an_special_event_route_days(q) -> str:
-    return _events(q) + " SELECT route_id, service_date, round(demand, 6) AS demand, n, round(expected, 6) AS expected, round(against, 6) AS against, state FROM events"
-
-
-@statement
-def an_special_event_dates(q) -> str:
-    return _events(q) + f" SELECT service_date, count(*) AS routes, count(CASE WHEN state = 'spike' THEN 1 END) AS spikes, count(CASE WHEN state = 'drop' THEN 1 END) AS drops, {q.joined("CASE WHEN state = 'spike' THEN route_id END")} AS spiking, count(CASE WHEN state = 'spike' THEN 1 END) >= 3 AS city_wide FROM events GROUP BY service_date"
-
-
-@statement
-def an_normal_days(q) -> str:
-    return _events(q) + " SELECT route_id, count(*) AS days FROM events WHERE state NOT IN ('spike', 'drop') GROUP BY route_id"
-
-
-@statement
-def an_route_demand(q) -> str:
-    return base(q) + """,
-d AS (SELECT route_id, service_date, sum(boardings) AS b FROM t GROUP BY route_id, service_date),
-a AS (SELECT route_id, count(b) AS days, round(avg(b), 6) AS mean_boardings FROM d GROUP BY route_id)
-SELECT *, CAST(dense_rank() OVER (ORDER BY mean_boardings DESC NULLS LAST) AS INT) AS demand_rank FROM a"""
-
-
-@statement
-def an_stop_usage(q) -> str:
-    return base(q) + f""",
-days AS (SELECT count(DISTINCT service_date) AS n FROM k),
-g AS (SELECT stop_id, CAST(sum(a) AS BIGINT) AS n_in, CAST(sum(b) AS BIGINT) AS n_out FROM {q.rows_of("(SELECT entry_stop_id, exit_stop_id FROM k)", ["stop_id", "a", "b"], [["entry_stop_id", "1", "0"], ["exit_stop_id", "0", "1"]])} WHERE stop_id <> '' GROUP BY stop_id),
-u AS (SELECT s.stop_id, s.zone, coalesce(g.n_in, 0) AS taps_in, coalesce(g.n_out, 0) AS taps_out FROM stops s LEFT JOIN g ON s.stop_id = g.stop_id)
-SELECT *, round({ratio("taps_in + taps_out", "(SELECT n FROM days)")}, 6) AS per_day, CAST(dense_rank() OVER (ORDER BY taps_in + taps_out DESC) AS INT) AS usage_rank FROM u"""
-
-
 @statement
 def an_route_delay(q) -> str:
     return base(q) + f""",
@@ -163,11 +65,6 @@ a AS (SELECT route_id, count(delay) AS judged, round(avg(delay), 6) AS mean_dela
 SELECT *, CAST(rank() OVER (ORDER BY mean_delay DESC NULLS LAST) AS INT) AS delay_rank, CAST(rank() OVER (ORDER BY late_share DESC NULLS LAST) AS INT) AS late_rank FROM a"""
 
 
-@statement
-def an_peak_hours(q) -> str:
-    return base(q) + f" SELECT day_class, h, count(*) AS trips, CAST(sum(boardings) AS BIGINT) AS boardings, count(DISTINCT service_date) AS days, round({ratio('sum(boardings)', 'count(DISTINCT service_date)')}, 6) AS per_day FROM t GROUP BY day_class, h"
-
-
 @statement
 def an_peak_days(q) -> str:
     return base(q) + " SELECT service_date, dow, CAST(sum(boardings) AS BIGINT) AS boardings, CAST(rank() OVER (ORDER BY sum(boardings) DESC NULLS LAST) AS INT) AS day_rank FROM t GROUP BY service_date, dow"
@@ -182,27 +79,6 @@ a AS (
 SELECT route_id, direction, n, round(m, 6) AS mean_min, round(s / nullif(m, 0e0), 6) AS cv, round(p10, 6) AS p10, round(p90, 6) AS p90, CAST(rank() OVER (ORDER BY round(s / nullif(m, 0e0), 6) DESC NULLS LAST) AS INT) AS variation_rank FROM a"""
 
 
-@statement
-def an_stop_patterns(q) -> str:
-    u = q.rows_of("(SELECT k.entry_stop_id, k.exit_stop_id, t.day_class, t.period FROM k JOIN t ON k.trip_id = t.trip_id)", ["stop_id", "a", "b"], [["entry_stop_id", "1", "0"], ["exit_stop_id", "0", "1"]])
-    return base(q) + f""",
-g AS (SELECT stop_id, day_class, period, CAST(sum(a) AS BIGINT) AS taps_in, CAST(sum(b) AS BIGINT) AS taps_out FROM {u} WHERE stop_id <> '' GROUP BY stop_id, day_class, period)
-SELECT *, CASE WHEN taps_in >= 1.5 * taps_out THEN 'origin' WHEN taps_out >= 1.5 * taps_in THEN 'destination' ELSE 'balanced' END AS pattern FROM g"""
-
-
-@statement
-def an_od_pairs(q) -> str:
-    return base(q) + ", f AS (SELECT entry_stop_id, exit_stop_id, count(*) AS flow FROM k WHERE exit_stop_id <> '' GROUP BY entry_stop_id, exit_stop_id) SELECT *, CAST(dense_rank() OVER (ORDER BY flow DESC) AS INT) AS flow_rank FROM f"
-
-
-@statement
-def an_load_profile(q) -> str:
-    u = q.rows_of("(SELECT route_id, entry_stop_id, exit_stop_id FROM k)", ["stop_id", "n"], [["entry_stop_id", "1"], ["exit_stop_id", "-1"]])
-    return base(q) + f""",
-e AS (SELECT route_id, stop_id, sum(n) AS net FROM {u} WHERE stop_id <> '' GROUP BY route_id, stop_id)
-SELECT route_id, stop_id, CAST(net AS BIGINT) AS net, CAST(sum(net) OVER (PARTITION BY route_id ORDER BY stop_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS on_board FROM e"""
-
-
 @statement
 def an_direction_demand(q) -> str:
     return base(q) + f""",
@@ -211,32 +87,11 @@ s AS (SELECT *, {ratio("b", "sum(b) OVER (PARTITION BY route_id, day_class, peri
 SELECT route_id, day_class, period, direction, CAST(b AS BIGINT) AS boardings, round(part, 6) AS part, CASE WHEN part >= 0.65 THEN 'dominant' WHEN part <= 0.35 THEN 'minor' WHEN part IS NOT NULL THEN 'balanced' END AS role FROM s"""
 
 
-@statement
-def an_od_matrix(q) -> str:
-    return base(q) + """
-SELECT a.zone AS entry_zone, b.zone AS exit_zone, t.route_id, t.direction, t.day_class, t.period, k.fare_category, count(*) AS trips, count(DISTINCT k.service_date) AS days, count(DISTINCT k.passenger_id) AS passengers
-FROM k JOIN t ON k.trip_id = t.trip_id JOIN stops a ON k.entry_stop_id = a.stop_id JOIN stops b ON k.exit_stop_id = b.stop_id
-GROUP BY a.zone, b.zone, t.route_id, t.direction, t.day_class, t.period, k.fare_category"""
-
-
-@statement
-def an_peak_period_summary(q) -> str:
-    return base(q) + f", d AS (SELECT day_class, period, count(*) AS trips, sum(boardings) AS b FROM t GROUP BY day_class, period) SELECT day_class, period, trips, CAST(b AS BIGINT) AS boardings, round({ratio('b', 'sum(b) OVER (PARTITION BY day_class)')}, 6) AS share_of_day FROM d"
-
-
 @statement
 def an_route_hours(q) -> str:
     return base(q) + ", d AS (SELECT route_id, day_class, h, round(avg(boardings), 6) AS mean_boardings FROM t GROUP BY route_id, day_class, h) SELECT *, CAST(rank() OVER (PARTITION BY route_id, day_class ORDER BY mean_boardings DESC NULLS LAST) AS INT) AS hour_rank FROM d"
 
 
-@statement
-def an_stop_hours(q) -> str:
-    return base(q) + """,
-d AS (SELECT entry_stop_id AS stop_id, CAST(hour(entry_time) AS INT) AS h, count(*) AS n FROM k WHERE entry_time IS NOT NULL GROUP BY entry_stop_id, hour(entry_time)),
-z AS (SELECT *, (n - avg(n) OVER (PARTITION BY stop_id)) / nullif(stddev(n) OVER (PARTITION BY stop_id), 0e0) AS z FROM d)
-SELECT stop_id, h, n, round(z, 6) AS z, coalesce(round(z, 6) >= 1.5, false) AS is_peak FROM z"""
-
-
 @statement
 def an_overcrowding_trips(q) -> str:
     return base(q) + " SELECT trip_id, route_id, direction, service_date, max_load, capacity, round(occupancy, 6) AS occupancy, band FROM t WHERE occupancy IS NOT NULL"
@@ -247,28 +102,6 @@ def an_overcrowding_summary(q) -> str:
     return base(q) + " SELECT route_id, direction, count(occupancy) AS measured, " + ", ".join(f"count(CASE WHEN band = '{b}' THEN 1 END) AS n_{b}" for b in ("low", "normal", "high", "over")) + " FROM t GROUP BY route_id, direction"
 
 
-def _persistent(q) -> str:
-    return base(q) + f""",
-d AS (SELECT route_id, direction, dow, period, service_date, max(CASE WHEN band IN ('high', 'over') THEN 1 ELSE 0 END) AS hit FROM t WHERE occupancy IS NOT NULL GROUP BY route_id, direction, dow, period, service_date),
-c AS (SELECT route_id, direction, dow, period, count(*) AS days, CAST(sum(hit) AS BIGINT) AS overloaded FROM d GROUP BY route_id, direction, dow, period),
-persistent AS (
-  SELECT *, CASE WHEN days < 4 THEN 'unknown' WHEN overloaded >= 4 AND {ratio("overloaded", "days")} >= 0.5 THEN 'persistent' WHEN overloaded BETWEEN 1 AND 2 THEN 'one_off' WHEN overloaded > 0 THEN 'recurring' ELSE 'none' END AS pattern FROM c)"""
-
-
-@statement
-def an_persistent_overcrowding(q) -> str:
-    return _persistent(q) + " SELECT * FROM persistent"
-
-
-@statement
-def an_underutilized(q) -> str:
-    return base(q) + f""",
-c AS (SELECT route_id, direction, day_class, period, count(occupancy) AS n, avg(occupancy) AS m, {q.pct("occupancy", 0.9)} AS p90, {ratio("sum(boardings)", "count(boardings)")} AS per_trip FROM t GROUP BY route_id, direction, day_class, period),
-p AS (SELECT period, {q.pct("per_trip", 0.5)} AS middle FROM c GROUP BY period)
-SELECT c.route_id, c.direction, c.day_class, c.period, n, round(m, 6) AS mean_occupancy, round(p90, 6) AS p90, round(per_trip, 6) AS per_trip,
-  CASE WHEN n < 5 THEN 'unknown' WHEN m <= 0.25 AND p90 <= 0.5 AND per_trip < middle THEN 'underused' ELSE 'used' END AS state FROM c JOIN p ON c.period = p.period"""
-
-
 @statement
 def an_delay_by_dimension(q) -> str:
     dims = {"route": "route_id", "direction": "CAST(direction AS STRING)", "period": "period", "hour": "CAST(h AS STRING)", "weekday": "CAST(dow AS STRING)", "day_class": "day_class", "month": "ym", "vehicle": "vehicle_id", "band": "band"}
@@ -276,16 +109,6 @@ def an_delay_by_dimension(q) -> str:
     return base(q) + f" SELECT dimension, val, count(*) AS trips, count(delay) AS judged, round(avg(delay), 6) AS mean_delay, round({share('delay >= 5', 'delay')}, 6) AS late_share FROM {u} WHERE val IS NOT NULL GROUP BY dimension, val"
 
 
-@statement
-def an_delay_by_stop(q) -> str:
-    return base(q) + f""",
-d AS (SELECT DISTINCT delay_id, stop_id, delay_minutes, delay_reason FROM delays WHERE stop_id <> '' AND delay_minutes BETWEEN -60 AND 600),
-r AS (SELECT stop_id, delay_reason, count(*) AS n FROM d WHERE delay_reason IS NOT NULL GROUP BY stop_id, delay_reason),
-m AS (SELECT stop_id, max_by(delay_reason, {q.tup("n", "delay_reason")}) AS main_reason FROM r GROUP BY stop_id),
-a AS (SELECT stop_id, count(*) AS records, avg(delay_minutes) AS mean_delay, {share("delay_minutes >= 5", "delay_minutes")} AS late FROM d GROUP BY stop_id)
-SELECT a.stop_id, records, round(mean_delay, 6) AS mean_delay, round(late, 6) AS late_share, main_reason, round(percent_rank() OVER (ORDER BY round(late, 6) NULLS FIRST), 6) AS late_rank FROM a LEFT JOIN m ON a.stop_id = m.stop_id"""
-
-
 @statement
 def an_delay_congestion(q) -> str:
     cols = ", ".join(f"avg(CASE WHEN period = '{p}' THEN delay END) AS {p}" for p in ("early", "am_peak", "midday", "pm_peak", "evening"))
@@ -294,15 +117,7 @@ def an_delay_congestion(q) -> str:
 
 @statement
 def an_delay_accumulation(q) -> str:
-    return base(q) + " SELECT route_id, direction, period, count(arrival_late) AS n, round(avg(departure_late) + 1e-9, 6) AS at_departure, round(avg(arrival_late) + 1e-9, 6) AS at_arrival, round(avg(arrival_late - departure_late) + 1e-9, 6) AS gained FROM t WHERE abs(arrival_late) <= 600 AND abs(departure_late) <= 600 GROUP BY route_id, direction, period"
-
-
-@statement
-def an_delay_position(q) -> str:
-    return base(q) + f""",
-d AS (SELECT DISTINCT delay_id, trip_id, scheduled_arrival, delay_minutes FROM delays WHERE delay_minutes BETWEEN -60 AND 600),
-p AS (SELECT t.period, d.delay_minutes, {ratio(q.minutes("t.scheduled_departure", "d.scheduled_arrival"), "t.planned")} AS place FROM d JOIN t ON d.trip_id = t.trip_id)
-SELECT period, CAST(least(9, floor(place * 10)) AS INT) AS decile, count(*) AS n, round(avg(delay_minutes), 6) AS mean_delay FROM p WHERE place >= 0 AND place <= 1 GROUP BY period, CAST(least(9, floor(place * 10)) AS INT)"""
+    return base(q) + " SELECT route_id, direction, period, count(arrival_late) AS n, round(sum(departure_s) / (count(*) * 60e0), 4) AS at_departure, round(sum(arrival_s) / (count(*) * 60e0), 4) AS at_arrival, round(sum(arrival_s - departure_s) / (count(*) * 60e0), 4) AS gained FROM t WHERE abs(arrival_late) <= 600 AND abs(departure_late) <= 600 GROUP BY route_id, direction, period"
 
 
 @statement
@@ -319,11 +134,6 @@ def an_delay_top_trips(q) -> str:
     return base(q) + " SELECT trip_id, route_id, service_date, round(delay, 6) AS delay FROM t WHERE delay IS NOT NULL ORDER BY round(delay, 6) DESC, trip_id LIMIT 500"
 
 
-@statement
-def an_stop_performance(q) -> str:
-    return f"SELECT u.stop_id, u.zone, u.taps_in, u.taps_out, u.usage_rank, d.records, d.mean_delay, d.late_share, d.main_reason FROM ({an_stop_usage(q)}) u LEFT JOIN ({an_delay_by_stop(q)}) d ON u.stop_id = d.stop_id"
-
-
 @statement
 def an_travel_time_analysis(q) -> str:
     return base(q) + f""",
@@ -346,110 +156,13 @@ a AS (SELECT route_id, count(arrival_late) AS n, {share("arrival_late < -1", "ar
 SELECT a.route_id, n, round(early, 6) AS early_share, round(late, 6) AS late_share, round(spread, 6) AS spread, round(cv, 6) AS mean_cv, CAST(rank() OVER (ORDER BY round(late, 6) NULLS LAST) AS INT) AS reliability_rank FROM a LEFT JOIN v ON a.route_id = v.route_id"""
 
 
-@statement
-def an_schedule_adherence(q) -> str:
-    on = "arrival_late BETWEEN -1 AND 5"
-    return base(q) + f" SELECT route_id, day_class, count(*) AS trips, count(CASE WHEN trip_status = 'cancelled' THEN 1 END) AS missed, count(CASE WHEN arrival_late < -1 THEN 1 END) AS early, count(CASE WHEN {on} THEN 1 END) AS on_time, count(CASE WHEN arrival_late > 5 THEN 1 END) AS late, round({ratio(f'count(CASE WHEN {on} THEN 1 END)', 'count(arrival_late)')}, 6) AS on_time_share FROM t GROUP BY route_id, day_class"
-
-
-@statement
-def an_service_frequency(q) -> str:
-    return base(q) + f""",
-c AS (SELECT route_id, direction, day_class, period, {ratio("count(*)", "count(DISTINCT service_date)")} AS per_day, {q.pct("occupancy", 0.8)} AS p80, count(occupancy) AS n FROM t GROUP BY route_id, direction, day_class, period)
-SELECT route_id, direction, day_class, period, round(per_day, 6) AS per_day, round(p80, 6) AS p80, CASE WHEN n < 5 THEN 'unknown' WHEN p80 >= 0.9 THEN 'too_little' WHEN p80 <= 0.3 AND per_day >= 2 THEN 'too_much' ELSE 'matched' END AS state FROM c"""
-
-
-@statement
-def an_demand_supply_gap(q) -> str:
-    return base(q) + f""",
-c AS (SELECT route_id, direction, day_class, period, CAST({q.pct("max_load", 0.9)} AS DOUBLE) AS need, max(capacity) AS have, count(max_load) AS n FROM t GROUP BY route_id, direction, day_class, period),
-types AS (SELECT vehicle_type, min(capacity_total) AS size FROM vehicles WHERE capacity_total IS NOT NULL GROUP BY vehicle_type),
-sizes AS (SELECT size, min(vehicle_type) AS fits, coalesce(lag(size) OVER (ORDER BY size), -1) AS smaller FROM types GROUP BY size),
-fit AS (SELECT {q.each("smaller + 1", "size")} AS load, size, fits FROM sizes)
-SELECT c.route_id, c.direction, c.day_class, c.period, n, need, have, fits, size, CASE WHEN n < 3 THEN 'unknown' WHEN fits IS NULL THEN 'add_trips' WHEN need > have THEN 'larger' WHEN size < have THEN 'smaller' ELSE 'keep' END AS suggestion
-FROM c LEFT JOIN fit ON CAST(c.need AS INT) = fit.load"""
-
-
-def _anomalies(q) -> str:
-    w = "PARTITION BY passenger_id ORDER BY entry_time, ticket_id"
-    odd = f"{ratio('travelled', 'planned')} < 0.5 OR {ratio('travelled', 'planned')} > 2"
-    signals = q.rows_of(
-        "t", ["kind", "observed", "wanted"],
-        [
-            ["CASE WHEN delay >= 60 THEN 'long_delay' END", "delay", "CAST(NULL AS DOUBLE)"],
-            ["CASE WHEN max_load > boardings THEN 'load_over_boardings' END", "CAST(max_load AS DOUBLE)", "CAST(boardings AS DOUBLE)"],
-            ["CASE WHEN denied > 0 AND occupancy < 0.5 THEN 'denied_though_empty' END", "CAST(denied AS DOUBLE)", "occupancy"],
-            [f"CASE WHEN {odd} THEN 'travel_time' END", "travelled", "planned"],
-        ],
-    )
-    return _events(q) + f""",
-taps AS (
-  SELECT ticket_id, passenger_id, service_date, entry_time, entry_stop_id, lag(entry_time) OVER ({w}) AS before_in, lag(exit_time) OVER ({w}) AS before_out, lag(entry_stop_id) OVER ({w}) AS before_stop
-  FROM k WHERE passenger_id <> '' AND entry_time IS NOT NULL),
-anomalies AS (
-  SELECT 'demand_' || state AS kind, route_id AS entity, service_date, demand AS observed, expected FROM events WHERE state IN ('spike', 'drop')
-  UNION ALL SELECT kind, trip_id, service_date, observed, wanted FROM {signals} WHERE kind IS NOT NULL
-  UNION ALL SELECT 'repeated_tap', ticket_id, service_date, {q.seconds("before_in", "entry_time")}, CAST(NULL AS DOUBLE) FROM taps
-    WHERE ({q.seconds("before_in", "entry_time")} <= 120 AND entry_stop_id = before_stop) OR entry_time < before_out)"""
-
-
-@statement
-def an_anomalies(q) -> str:
-    return _anomalies(q) + " SELECT kind, entity, service_date, round(observed, 6) AS observed, round(expected, 6) AS expected FROM anomalies"
-
-
-@statement
-def an_anomaly_summary(q) -> str:
-    return _anomalies(q) + " SELECT kind, count(*) AS signals, count(DISTINCT entity) AS entities, count(DISTINCT service_date) AS days FROM anomalies GROUP BY kind"
-
-
-def _segments(q) -> str:
-    return base(q) + f""",
-p AS (
-  SELECT passenger_id, count(*) AS rides, count(DISTINCT k.service_date) AS days, {share("period IN ('am_peak', 'pm_peak')", "period")} AS peak, {share("day_class = 'weekend'", "day_class")} AS weekend, count(DISTINCT entry_stop_id) AS stops
-  FROM k JOIN t ON k.trip_id = t.trip_id WHERE passenger_id <> '' GROUP BY passenger_id),
-busy AS (SELECT {q.pct("rides", 0.8)} AS many FROM p),
-segments AS (SELECT *, CASE WHEN rides < 3 THEN 'rare' WHEN peak >= 0.6 AND rides >= (SELECT many FROM busy) THEN 'commuter' WHEN weekend >= 0.6 THEN 'leisure' WHEN stops >= 8 THEN 'explorer' ELSE 'regular' END AS segment FROM p)"""
-
-
-@statement
-def an_passenger_segments(q) -> str:
-    return _segments(q) + " SELECT passenger_id, rides, days, round(peak, 6) AS peak, round(weekend, 6) AS weekend, stops, segment FROM segments"
-
-
-@statement
-def an_segment_summary(q) -> str:
-    return _segments(q) + f" SELECT segment, count(*) AS passengers, round({ratio('count(*)', 'sum(count(*)) OVER ()')}, 6) AS part, CAST(sum(rides) AS BIGINT) AS rides FROM segments GROUP BY segment"
-
-
-@statement
-def an_route_performance(q) -> str:
-    score = "round(100 * percent_rank() OVER (PARTITION BY eligible ORDER BY {} NULLS FIRST), 6) AS {}"
-    return _persistent(q) + f""",
-rd AS (
-  SELECT route_id, service_date, sum(boardings) AS b, avg(occupancy) AS occ, {share("delay >= 5", "delay")} AS late, stddev(arrival_late) AS spread, {share("band = 'low'", "band")} AS low, {share("band IN ('high', 'over')", "band")} AS high
-  FROM t GROUP BY route_id, service_date),
-r AS (
-  SELECT route_id, count(occ) AS days, {q.pct("b", 0.5)} AS b, {q.pct("occ", 0.5)} AS occ, {q.pct("late", 0.5)} AS late, {q.pct("spread", 0.5)} AS spread, {q.pct("low", 0.5)} AS low, {q.pct("high", 0.5)} AS high FROM rd GROUP BY route_id),
-g AS (SELECT route_id, count(CASE WHEN pattern = 'persistent' THEN 1 END) AS cells FROM persistent GROUP BY route_id),
-e AS (SELECT r.*, coalesce(g.cells, 0) AS cells, r.days >= 20 AND r.occ IS NOT NULL AS eligible FROM r LEFT JOIN g ON r.route_id = g.route_id),
-s AS (SELECT *, {score.format("b", "demand_score")}, {score.format("round(late, 9) * -1", "delay_score")}, {score.format("round(spread, 9) * -1", "reliability_score")}, round(100 * greatest(0, 1 - abs(occ - 0.7) / 0.7), 6) AS occupancy_score, round(100 * (1 - low), 6) AS use_score FROM e),
-w AS (SELECT *, round((demand_score + delay_score + reliability_score + occupancy_score + use_score) / 5e0, 4) AS score FROM s),
-k2 AS (SELECT *, round(percent_rank() OVER (PARTITION BY eligible ORDER BY score NULLS FIRST), 6) AS place FROM w)
-SELECT route_id, days, CAST(b AS BIGINT) AS daily_boardings, round(occ, 6) AS occupancy, cells, eligible, demand_score, delay_score, reliability_score, occupancy_score, use_score, score, place,
-  CASE WHEN NOT eligible THEN 'too_few_days' WHEN place >= 0.7 THEN 'strong' WHEN place <= 0.3 THEN 'weak' WHEN high >= 0.2 THEN 'crowded' ELSE 'mixed' END AS class FROM k2"""
-
-
 def run(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = STATEMENTS[name](Spark())
-        for t in TABLES:
-            if t in text:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text)
+        register(mart(spark, sf_dir))
+        return spark.sql(STATEMENTS[name](Spark()))
 
     return query
 
 
-QUERIES = {name: run(name) for name in STATEMENTS}
-SQL = {name: f(DuckDB()) for name, f in STATEMENTS.items()}
+QUERIES = {name: run(name) for name in STATEMENTS} | transit.QUERIES
+SQL = {name: f(DuckDB()) for name, f in STATEMENTS.items()} | transit.SQL

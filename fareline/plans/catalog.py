@@ -13,6 +13,7 @@ from fareline.operators import cleaning as C
 from fareline.operators import features as X
 from fareline.operators import joins as J
 from fareline.operators import quality as Q
+from fareline.operators import ranks as R
 from fareline.operators import windows as W
 from fareline.plans.problem_sql import _LINES
 from fareline.plans.serving import View, filtered, ordered
@@ -216,7 +217,7 @@ def agg_cv(part):
 
 @query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.1) AS p10, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY ALL")
 def agg_percentiles(lineitem):
-    return lineitem.groupBy("l_returnflag").agg(*[A.exact_percentile("l_extendedprice", p).alias(f"p{round(p * 100)}") for p in (0.1, 0.5, 0.9)])
+    return R.exact_quantiles(lineitem, ["l_returnflag"], "l_extendedprice", (0.1, 0.5, 0.9)).withColumnsRenamed({"q0": "p10", "q1": "p50", "q2": "p90"})
 
 
 @query()

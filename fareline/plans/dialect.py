@@ -4,85 +4,39 @@ from __future__ import annotations
 
 
 class Spark:
+    def base(self) -> str:
+        return "WITH t AS (SELECT * FROM an_base_trips), k AS (SELECT * FROM an_base_taps)"
+
     def minutes(self, a: str, b: str) -> str:
         return f"((unix_micros(CAST({b} AS TIMESTAMP)) - unix_micros(CAST({a} AS TIMESTAMP))) / 6e7)"
 
-    def seconds(self, a: str, b: str) -> str:
-        return f"((unix_micros(CAST({b} AS TIMESTAMP)) - unix_micros(CAST({a} AS TIMESTAMP))) / 1e6)"
-
-    def month(self, d: str) -> str:
-        return f"date_format({d}, 'yyyy-MM')"
-
-    def dow(self, d: str) -> str:
-        return f"dayofweek({d})"
-
-    def day(self, d: str) -> str:
-        return f"unix_date({d})"
-
     def pct(self, x: str, p: float) -> str:
-        return f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})"
-
-    def tup(self, *x: str) -> str:
-        return f"struct({', '.join(x)})"
-
-    def joined(self, x: str) -> str:
-        return f"array_join(array_sort(collect_set({x})), ',')"
+        return f"percentile_approx({x}, {p}, 10000)"  # exact up to 10,000 values of a group
 
     def rows_of(self, source: str, columns: list[str], values: list[list[str]]) -> str:
         """Each row of the source once per list of values, as further columns: one scan for all of them."""
         flat = ", ".join(v for row in values for v in row)
         return f"{source} LATERAL VIEW stack({len(values)}, {flat}) unpivoted AS {', '.join(columns)}"
 
-    def each(self, a: str, b: str) -> str:
-        """The whole numbers from a to b, a row each."""
-        return f"explode(sequence(CAST({a} AS INT), CAST({b} AS INT)))"
-
     def last_known(self, x: str, over: str) -> str:
         return f"last_value({x}) IGNORE NULLS OVER ({over})"
 
-    def history_median(self, x: str, over: str, low: bool = False) -> str:
-        """Median (of two middle values the lower, if low) of a window's values."""
-        h = f"array_sort(collect_list({x}) OVER ({over}))"
-        a, b = f"get({h}, CAST(floor((size({h}) - 1) / 2) AS INT))", f"get({h}, CAST(floor(size({h}) / 2) AS INT))"
-        return a if low else f"(({a} + {b}) / 2e0)"
+class DuckDB:
+    def base(self) -> str:
+        from fareline.plans.transit_sql import BASE
 
+        return BASE
 
-class DuckDB:
     def minutes(self, a: str, b: str) -> str:
         return f"((epoch_us({b}) - epoch_us({a})) / 6e7)"
 
-    def seconds(self, a: str, b: str) -> str:
-        return f"((epoch_us({b}) - epoch_us({a})) / 1e6)"
-
-    def month(self, d: str) -> str:
-        return f"strftime({d}, '%Y-%m')"
-
-    def dow(self, d: str) -> str:
-        return f"CAST(dayofweek({d}) + 1 AS INT)"
-
-    def day(self, d: str) -> str:
-        return f"CAST(date_diff('day', DATE '1970-01-01', {d}) AS INT)"
-
     def pct(self, x: str, p: float) -> str:
         return f"quantile_disc({x}, {p})"
 
-    def tup(self, *x: str) -> str:
-        return f"row({', '.join(x)})"
-
-    def joined(self, x: str) -> str:
-        return f"coalesce(string_agg(DISTINCT {x}, ',' ORDER BY {x}), '')"
-
     def rows_of(self, source: str, columns: list[str], values: list[list[str]]) -> str:
         structs = ", ".join("{" + ", ".join(f"'{c}': {v}" for c, v in zip(columns, row)) + "}" for row in values)
         return f"(SELECT *, unnest([{structs}], recursive := true) FROM {source}) unpivoted"
 
-    def each(self, a: str, b: str) -> str:
-        return f"unnest(generate_series(CAST({a} AS INT), CAST({b} AS INT)))"
-
     def last_known(self, x: str, over: str) -> str:
         return f"last_value({x} IGNORE NULLS) OVER ({over})"
 
-    def history_median(self, x: str, over: str, low: bool = False) -> str:
-        h = f"list_sort(list({x}) FILTER (WHERE {x} IS NOT NULL) OVER ({over}))"
-        a, b = f"{h}[(len({h}) + 1) // 2]", f"{h}[len({h}) // 2 + 1]"
-        return a if low else f"(({a} + {b}) / 2e0)"
