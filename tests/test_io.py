@@ -1,7 +1,9 @@
 import datetime as dt
 import json
+from graphlib import CycleError
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareline.plans import templates
@@ -35,6 +37,31 @@ def test_json_scans(spark, rows, tmp_path):
     assert rows(nested.selectExpr("id", "inline(ex)")) == [("a", dt.date(2024, 1, 1))]
 
 
+def test_quarantine_names_what_the_scan_could_not_read(spark, rows, tmp_path):
+    lines = ["1,5,2024-01-01T08:00:00,2024-01-01", "2,5,2024-01-01 08:00,2024-01-01", "3,5,2024-01-01 08:00:00,2024-1-1", '4,"5,2024-01-01 08:00:00,2024-01-01', "5,5,2024-01-01 08:00:00", '"6","x,y",2024-01-01 08:00:00,2024-01-01', "7,5,2024-01-01 08:00:00,2024-01-01"]
+    for i, line in enumerate(lines):
+        (tmp_path / f"{i}.csv").write_text(f"id,n,at,d\n{line}\n")
+    scanned = R.typed_scan(spark, str(tmp_path), SCHEMA).cache()
+    assert rows(R.accepted(scanned), "id") == [("7",)]
+    bad = R.quarantine(scanned, SCHEMA)
+    assert sorted((r.raw_record[:2].strip('"'), r.failed_columns, r.reason) for r in bad.collect()) == [("1,", "at", "value"), ("2,", "at", "value"), ("3,", "d", "value"), ("4,", "", "quoting"), ("5,", "", "columns"), ("6", "n", "value")]
+    fixed = R.recovered(bad, SCHEMA, ["at", "n"], {"at": F.to_timestamp_ntz(F.concat("d", F.lit(" 00:00:00")))})
+    midnight = dt.datetime(2024, 1, 1)
+    assert rows(fixed, "id", "n", "at") == [("1", 5, midnight), ("2", 5, midnight), ("6", None, dt.datetime(2024, 1, 1, 8))]
+    scanned.unpersist()
+
+
+def test_json_quarantine_and_counts(spark, rows, tmp_path):
+    (tmp_path / "l.jsonl").write_text('{"id": "1", "n": 2}\n{"id": "2", "n": "x"}\n{broken\n\n')
+    schema = T.StructType.fromDDL("id string, n int")
+    scanned = R.typed_scan(spark, str(tmp_path / "l.jsonl"), schema, "json").cache()
+    assert rows(R.quarantine(scanned, schema, "json"), "failed_columns", "reason") == [("", "structure"), ("n", "value")]
+    assert rows(R.raw_record_count(spark, str(tmp_path / "l.jsonl"), "lines")) == [(1, 3)]
+    (tmp_path / "a.json").write_text(json.dumps([{"a": 1}, {"a": 2}, {"a": 3}]))
+    (tmp_path / "b.json").write_text(json.dumps([]))
+    assert rows(R.raw_record_count(spark, str(tmp_path / "*.json"), "json")) == [(2, 3)]
+
+
 def test_drift(spark):
     assert R.schema_drift(SCHEMA, T.StructType.fromDDL("id string, n bigint, x int, d date")) == ["missing: at", "type of n: bigint instead of int", "new: x"]
 
@@ -53,14 +80,18 @@ def test_sinks_read_back(spark, tmp_path, fmt):
 
 
 def test_statements(spark, tmp_path):
-    view = "-- name: small\n-- kind: view\nSELECT * FROM range(10) WHERE id < ${top}"
-    out = "-- name: counted\n-- kind: output\nSELECT count(*) AS n FROM small"
-    assert templates.run(spark, [view, out], {"top": 4}, str(tmp_path)) == {"counted": 1}
-    assert spark.table("counted").first().n == 4
-    assert templates.run(spark, [view, out], {"top": 9}, str(tmp_path), only=set()) == {} and spark.table("counted").first().n == 4
+    texts = {"counted": "SELECT count(*) AS n FROM small", "small": "SELECT * FROM wide WHERE id < {{top}}", "wide": "SELECT * FROM range(10)", "other": "SELECT * FROM counted"}
+    p = templates.Project(texts, {"top": 4}, ("counted",), str(tmp_path))
+    assert p.order(["other"]) == ["wide", "small", "counted", "other"] and p.order(["small"]) == ["wide", "small"]
+    assert p.build(spark, ["counted"])["counted"].first().n == 4
+    again = templates.Project(texts, {"top": 9}, ("counted",), str(tmp_path))
+    assert again.build(spark, ["counted"], kept=["counted"])["counted"].first().n == 4
+    assert again.build(spark, ["other"])["other"].first().n == 9
     with pytest.raises(KeyError):
-        templates.parse(view, {})
-    assert spark.sql(f"SELECT {templates.case_of_bands('x', [(1, 'a'), (None, 'b')])} FROM VALUES (0), (2), (NULL) t(x)").collect() == [("a",), ("b",), (None,)]
+        templates.Project(texts).build(spark, ["small"])
+    with pytest.raises(CycleError):
+        templates.Project({"a": "SELECT * FROM b", "b": "SELECT * FROM a"}).order(["a"])
+    assert spark.sql(f"SELECT {templates.band_case('x', [(1, 'a'), (None, 'b')])} FROM VALUES (0), (2), (NULL) t(x)").collect() == [("a",), ("b",), (None,)]
 
 
 def test_pages(spark):
