@@ -18,6 +18,15 @@ def band(value: Column, bands: Sequence[tuple[float | None, str]]) -> Column:
     return out
 
 
+def guarded_band(value: Column, bands: Sequence[tuple[float | None, str]], labels: Sequence[str]) -> Column:
+    """``band``, after a check that the bounds ascend, the last has none and the labels are those agreed on: a
+    ValueError otherwise, so that a changed configuration cannot shift labels silently."""
+    highs = [high for high, _ in bands]
+    if [label for _, label in bands] != list(labels) or highs[-1] is not None or None in highs[:-1] or sorted(highs[:-1]) != highs[:-1]:
+        raise ValueError(f"bands {list(bands)} do not fit the labels {list(labels)}")
+    return band(value, bands)
+
+
 def day_period(hour: Column, periods: Sequence[tuple[int, int, str]]) -> Column:
     """Label of the first period (from, to, label; both hours inclusive) that holds the hour."""
     out = F.when(hour.isNull(), None)

@@ -12,7 +12,8 @@ from fareline.functions.expr import ratio
 
 
 def exact_percentile(value: str, p: float) -> Column:
-    """The discrete quantile, not interpolated."""
+    """The discrete quantile, not interpolated. A group's distinct values are held in one task; for groups without
+    a bound see ``ranks.exact_quantiles``."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
 
 
@@ -114,3 +115,62 @@ def column_profile(df: DataFrame, columns: Sequence[str], top: int = 5) -> DataF
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n) of the pairs of values that occur; rows with a null are left out."""
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+
+
+def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the adjusted Rand index of two labellings of the same rows, from their contingency table."""
+    cells = crosstab(df, a, b).withColumn("n", F.col("n").cast("double"))
+
+    def pairs(x: Column) -> Column:
+        return x * (x - 1) / 2
+
+    def within(*keys: str) -> Column:
+        return cells.groupBy(*keys).agg(F.sum("n").alias("x")).agg(F.sum(pairs(F.col("x")))).scalar()
+
+    one = cells.agg(F.sum(pairs(F.col("n"))).alias("cells"), pairs(F.sum("n")).alias("all"))
+    one = one.withColumns({"rows": within(a), "cols": within(b)})
+    chance = F.col("rows") * F.col("cols") / F.col("all")
+    return one.select(F.try_divide(F.col("cells") - chance, (F.col("rows") + F.col("cols")) / 2 - chance).alias("adjusted_rand"))
+
+
+def classification_scores(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """One row: accuracy, macro_f1 (mean over classes) and weighted_f1 (by support)."""
+    hits = df.agg(F.avg((F.col(label).cast("string") == F.col(predicted).cast("string")).cast("double"))).scalar()
+    r = classification_report(df, label, predicted)
+    return r.agg(F.avg("f1").alias("macro_f1"), ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1")).select(hits.alias("accuracy"), "macro_f1", "weighted_f1")
+
+
+def band_accuracy(df: DataFrame, label: str, predicted: str, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """One row: the share of predictions within each band (absolute, relative to the label) and n; a prediction
+    is within if either bound allows it. Rows without both values are left out."""
+    x, p = F.col(label), F.col(predicted)
+    off = F.abs(p - x)
+    rows = df.where(x.isNotNull() & p.isNotNull())
+    return rows.agg(*[F.avg(((off <= most) if not part else (off <= part * x) if not most else ((off <= most) | (off <= part * x))).cast("double")).alias(name) for name, (most, part) in bands.items()], F.count(F.lit(1)).alias("n"))
+
+
+def store_parity(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(column, distinct_a, distinct_b, sum_a, sum_b, same) for the columns of two stores of one table.
+
+    Numbers are compared by their sums and distinct values, other columns by distinct values.
+    """
+    numbers = {f.name for f in a.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte", "decimal")}
+
+    def measures(df: DataFrame) -> Column:
+        return df.agg(F.array(*[F.struct(F.countDistinct(c).alias("d"), (F.sum(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("s")) for c in a.columns])).scalar()
+
+    one = a.sparkSession.range(1).select(F.arrays_zip(F.array(*map(F.lit, a.columns)).alias("c"), measures(a).alias("a"), measures(b).alias("b")).alias("z"))
+    m = one.select(F.explode("z").alias("z")).select(F.col("z.c").alias("column"), F.col("z.a.d").alias("distinct_a"), F.col("z.b.d").alias("distinct_b"), F.col("z.a.s").alias("sum_a"), F.col("z.b.s").alias("sum_b"))
+    close = F.col("sum_a").eqNullSafe(F.col("sum_b")) | F.coalesce(F.abs(F.col("sum_a") - F.col("sum_b")) <= tolerance * F.greatest(F.abs("sum_a"), F.lit(1.0)), F.lit(False))
+    return m.withColumn("same", (F.col("distinct_a") == F.col("distinct_b")) & close)
+
+
+def flat_metrics(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
+    """(group, metric, value): a row per metric that a group has."""
+    values = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(m).cast("double") for m in metrics])), lambda k, v: v.isNotNull())
+    return df.select(group, F.explode(values).alias("metric", "value"))

@@ -63,9 +63,11 @@ def resequenced(column: str, group_by: Sequence[str], order: Sequence[str]) -> C
     return Correction(column, lambda df: (df, F.row_number().over(Window.partitionBy(*group_by).orderBy(*order))))
 
 
-def swapped(column: str, other: str, low: float, high: float) -> Correction:
-    """The other coordinate, if it lies in this one's bounds."""
-    return Correction(column, lambda df: (df, F.when(F.col(other).between(low, high), F.col(other))))
+def swapped(lat: str, lon: str, box: Sequence[float]) -> tuple[Correction, Correction]:
+    """Corrections of two coordinates: each takes the other's value, if both then lie in the box (south, north,
+    west, east)."""
+    fits = F.col(lon).between(box[0], box[1]) & F.col(lat).between(box[2], box[3])
+    return Correction(lat, lambda df: (df, F.when(fits, F.col(lon)))), Correction(lon, lambda df: (df, F.when(fits, F.col(lat))))
 
 
 def split_duplicates(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -73,3 +73,10 @@ def dense_grid(facts: DataFrame, cell: Sequence[str], day: str, measures: Sequen
     first, last = span.getField("col1"), span.getField("col2")
     grid = facts.select(*cell).distinct().withColumn(day, F.explode(F.sequence(first, last)))
     return grid.join(facts.select(*cell, day, *measures), [*cell, day], "left").fillna(0, list(measures))
+
+
+def inner_on(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two results joined on several keys; other columns of one name are refused (ValueError)."""
+    if clash := (set(a.columns) & set(b.columns)) - set(keys):
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    return a.join(b, list(keys))

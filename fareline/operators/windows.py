@@ -45,9 +45,15 @@ def prior_mean(df: DataFrame, entity: Sequence[str], order: Sequence[str], value
     return df.withColumn(name, F.avg(value).over(w))
 
 
-def rolling_rows(df: DataFrame, entity: Sequence[str], order: Sequence[str], value: str, rows: int, name: str) -> DataFrame:
-    """Mean of the ``rows`` rows before the row."""
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(*entity).orderBy(*order).rowsBetween(-rows, -1)))
+def rolling_rows(df: DataFrame, entity: Sequence[str], order: Sequence[str], value: str, rows: int, name: str, least: int = 1) -> DataFrame:
+    """Mean of the ``rows`` rows before the row; null with fewer than ``least`` values among them."""
+    w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(-rows, -1)
+    return df.withColumn(name, F.when(F.count(value).over(w) >= least, F.avg(value).over(w)))
+
+
+def relative_change(df: DataFrame, entity: Sequence[str], order: Sequence[str], value: str, rows: int, name: str) -> DataFrame:
+    """The value over that of ``rows`` rows before, less 1; null without it or where it is 0."""
+    return df.withColumn(name, ratio(F.col(value), F.lag(value, rows).over(Window.partitionBy(*entity).orderBy(*order))) - 1)
 
 
 def lags(df: DataFrame, entity: Sequence[str], order: Sequence[str], value: str, steps: Sequence[int]) -> DataFrame:

@@ -298,13 +298,18 @@ def agg_fingerprint(lineitem):
     return A.fingerprint(lineitem)
 
 
-_PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS distinct_values, {x} FROM passenger_counts" for c, x in [("vehicle_id", "min(vehicle_id) AS least, max(vehicle_id) AS most, CAST(NULL AS DOUBLE) AS mean"), ("boardings", "CAST(min(boardings)::DOUBLE AS VARCHAR), CAST(max(boardings)::DOUBLE AS VARCHAR), round(avg(boardings), 6)"), ("max_load", "CAST(min(max_load)::DOUBLE AS VARCHAR), CAST(max(max_load)::DOUBLE AS VARCHAR), round(avg(max_load), 6)")])
+def _profile_sql(c: str, numeric: bool) -> str:
+    x = f"CAST({c} AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
+    bound = f"CAST({{}}(CAST({c} AS DOUBLE)) AS VARCHAR)" if numeric else f"{{}}({c})"
+    quartiles = ", ".join(f"round(quantile_cont({x}, {p}), 6) AS q{round(p * 100)}" for p in (0.25, 0.5, 0.75))
+    tops = f"(SELECT string_agg(v || ':' || n, ', ' ORDER BY n DESC, v) FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM passenger_counts WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 5))"
+    return f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS distinct_values, {bound.format('min')} AS least, {bound.format('max')} AS most, round(avg({x}), 6) AS mean, round(stddev({x}), 4) AS std, {quartiles}, {tops} AS top_values FROM passenger_counts"
 
 
-@query(_PROFILE)
+@query(" UNION ALL ".join(_profile_sql(c, n) for c, n in (("vehicle_id", False), ("boardings", True), ("max_load", True))))
 def agg_profile(passenger_counts):
     p = A.column_profile(passenger_counts, ["vehicle_id", "boardings", "max_load"])
-    return p.select("column", "rows", "nulls", "distinct_values", F.col("min").alias("least"), F.col("max").alias("most"), r6(F.col("mean")).alias("mean"))
+    return p.select("column", "rows", "nulls", "distinct_values", F.col("min").alias("least"), F.col("max").alias("most"), r6(F.col("mean")).alias("mean"), F.round("std", 4).alias("std"), *[r6(F.col(q)).alias(q) for q in ("q25", "q50", "q75")], "top_values")
 
 
 @query("WITH c AS (SELECT record_source AS l, CASE WHEN delay_minutes > 3 THEN 'avl' ELSE 'manual' END AS p FROM delays WHERE record_source IS NOT NULL), k AS (SELECT l AS class FROM c UNION SELECT p FROM c) SELECT class, count(*) FILTER (WHERE l = class) AS support, round(count(*) FILTER (WHERE l = class AND p = class) / nullif(count(*) FILTER (WHERE p = class), 0), 6) AS precision, round(count(*) FILTER (WHERE l = class AND p = class) / nullif(count(*) FILTER (WHERE l = class), 0), 6) AS recall, round(2 * count(*) FILTER (WHERE l = class AND p = class) / (count(*) FILTER (WHERE l = class) + count(*) FILTER (WHERE p = class)), 6) AS f1 FROM c JOIN k ON l = class OR p = class GROUP BY 1")
@@ -314,10 +319,10 @@ def agg_confusion(delays):
     return c.select("class", F.col("support").cast("long").alias("support"), *[r6(F.col(x)).alias(x) for x in ("precision", "recall", "f1")])
 
 
-@query("SELECT route_id, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) ** 2)), 6) AS rmse, round(avg(CASE WHEN y <> 0 THEN abs((y - p) / y) END), 6) AS mape FROM (SELECT route_id, boardings::DOUBLE AS y, alightings::DOUBLE AS p FROM passenger_counts) WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY ALL")
+@query("SELECT route_id, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) ** 2)), 6) AS rmse, round(avg(CASE WHEN y <> 0 THEN abs((y - p) / y) END), 6) AS mape, round(1 - sum((y - p) ** 2) / nullif(var_pop(y) * count(*), 0), 6) AS r2 FROM (SELECT route_id, boardings::DOUBLE AS y, alightings::DOUBLE AS p FROM passenger_counts) WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY ALL")
 def agg_regression(passenger_counts):
     r = A.regression_report(passenger_counts, "boardings", "alightings", ["route_id"])
-    return r.select("route_id", "n", *[r6(F.col(x)).alias(x) for x in ("mae", "rmse", "mape")])
+    return r.select("route_id", "n", *[r6(F.col(x)).alias(x) for x in ("mae", "rmse", "mape", "r2")])
 
 
 # ---- windows
@@ -354,12 +359,13 @@ def win_lags(events):
     return W.lags(events, ["user_id"], ["ts", "event_id"], "value", (1, 7)).select("user_id", "event_id", "value", "value_lag_1", "value_lag_7")
 
 
-@query("WITH k AS (SELECT DISTINCT ticket_id, passenger_id, entry_time, entry_stop_id FROM tickets WHERE passenger_id IS NOT NULL AND entry_time IS NOT NULL), l AS (SELECT *, lag(entry_time) OVER w AS t0, lag(entry_stop_id) OVER w AS s0 FROM k WINDOW w AS (PARTITION BY passenger_id ORDER BY entry_time, ticket_id)) SELECT ticket_id, passenger_id FROM l WHERE epoch_us(entry_time) - epoch_us(t0) <= 120000000 AND entry_stop_id = s0")
-def win_lag_repeat(tickets):
-    k = tickets.where("passenger_id is not null and entry_time is not null").select("ticket_id", "passenger_id", "entry_time", "entry_stop_id").distinct()
-    at = k.withColumn("at", F.unix_micros(F.col("entry_time").cast("timestamp")))
-    lagged = W.lags(W.lags(at, ["passenger_id"], ["entry_time", "ticket_id"], "at", (1,)), ["passenger_id"], ["entry_time", "ticket_id"], "entry_stop_id", (1,))
-    return lagged.where("at - at_lag_1 <= 120000000 and entry_stop_id = entry_stop_id_lag_1").select("ticket_id", "passenger_id")
+@query("WITH k AS (SELECT DISTINCT event_id, vehicle_id, event_time, stop_id FROM gps_events WHERE vehicle_id <> '' AND stop_id IS NOT NULL AND event_time IS NOT NULL), l AS (SELECT *, lag(event_time) OVER w AS t0, lag(stop_id) OVER w AS s0 FROM k WINDOW w AS (PARTITION BY vehicle_id ORDER BY event_time, event_id)) SELECT event_id, vehicle_id FROM l WHERE epoch_us(event_time) - epoch_us(t0) <= 120000000 AND stop_id = s0")
+def win_lag_repeat(gps_events):
+    """A vehicle's events at the stop of its event before, at most two minutes later."""
+    k = gps_events.where("vehicle_id != '' and stop_id is not null and event_time is not null").select("event_id", "vehicle_id", "event_time", "stop_id").distinct()
+    at = k.withColumn("at", F.unix_micros(F.col("event_time").cast("timestamp")))
+    lagged = W.lags(W.lags(at, ["vehicle_id"], ["event_time", "event_id"], "at", (1,)), ["vehicle_id"], ["event_time", "event_id"], "stop_id", (1,))
+    return lagged.where("at - at_lag_1 <= 120000000 and stop_id = stop_id_lag_1").select("event_id", "vehicle_id")
 
 
 @query("WITH e AS (SELECT trip_id, entry_time AS t, ticket_id, 1 AS n FROM (SELECT DISTINCT * FROM tickets) WHERE trip_id <> '' AND entry_time IS NOT NULL UNION ALL SELECT trip_id, exit_time, ticket_id, -1 FROM (SELECT DISTINCT * FROM tickets) WHERE trip_id <> '' AND exit_time IS NOT NULL) SELECT trip_id, t, ticket_id, n, CAST(sum(n) OVER (PARTITION BY trip_id ORDER BY t, n DESC, ticket_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS on_board FROM e")
@@ -486,7 +492,7 @@ RULES = {
         Q.Rule("R09", "value_range", "routes", params={"column": "distance_km", "low": 0, "high": 200, "low_exclusive": True}),
         Q.Rule("R10", "sequence_integrity", "lineitem", params={"group_by": ["l_orderkey"], "sequence_column": "l_linenumber"}),
         Q.Rule("R11", "missing_parent", "trips", params={"parent_key": "trip_id", "child_tables": ["tickets", "passenger_counts", "delays"], "child_column": "trip_id"}),
-        Q.Rule("R12", "timestamp_date_window", "tickets", params={"column": "entry_time", "date_column": "service_date", "low_days": 0, "high_days": 2}),
+        Q.Rule("R12", "timestamp_date_window", "tickets", params={"column": "received_at", "date_column": "service_date", "low_days": 0, "high_days": 2}),
         Q.Rule("R13", "geo_bounds", "stops", params={"lat": "latitude", "lon": "longitude", "box": [11.9, 12.6, 33.0, 33.8]}),
         Q.Rule("R14", "count_vs_children", "passenger_counts", params={"count_column": "card_taps", "child_table": "tickets", "child_key": "ticket_id", "join_column": "trip_id"}),
         Q.Rule("R15", "overlapping_intervals", "schedules", params={"group_by": ["route_id", "service_id", "direction", "period"], "start": "valid_from", "end": "valid_to"}),
@@ -494,8 +500,25 @@ RULES = {
 }
 
 
+class _Tables(dict):
+    """The tables with known keys, opened when they are first wanted."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.open = lambda name: table(spark, sf_dir, name)
+
+    def __contains__(self, name: object) -> bool:
+        return name in _KEYS
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in _KEYS:
+            raise KeyError(name)
+        self[name] = self.open(name)
+        return self[name]
+
+
 def _catalog(spark: SparkSession, sf_dir: str) -> Q.Catalog:
-    return Q.Catalog({n: table(spark, sf_dir, n) for n in _KEYS}, _KEYS)
+    return Q.Catalog(_Tables(spark, sf_dir), _KEYS)
 
 
 def _rule_query(rule: Q.Rule) -> Query:
@@ -524,37 +547,19 @@ SQL |= {
     "dq_value_range": _violation("R09", "routes", "coalesce(route_id, '')", "'distance_km'", "CAST(distance_km AS VARCHAR)", "1", "routes WHERE distance_km <= 0 OR distance_km > 200"),
     "dq_sequence_integrity": _violation("R10", "lineitem", "CAST(l_orderkey AS VARCHAR)", "'l_linenumber'", "concat_ws('/', d, n, lo, hi)", "1", "(SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS d, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1) WHERE d < n OR lo <> 1 OR hi <> n"),
     "dq_missing_parent": _violation("R11", "trips", "p", "'trip_id'", "o", "1", "(SELECT p, string_agg(DISTINCT c, ',' ORDER BY c) AS o FROM (SELECT trip_id AS p, 'tickets' AS c FROM tickets UNION SELECT trip_id, 'passenger_counts' FROM passenger_counts UNION SELECT trip_id, 'delays' FROM delays) WHERE p IS NOT NULL AND p NOT IN (SELECT trip_id FROM trips) GROUP BY 1)"),
-    "dq_timestamp_date_window": _violation("R12", "tickets", "ticket_id", "'entry_time'", _ts.format("entry_time"), "1", "tickets WHERE date_diff('day', service_date, CAST(entry_time AS DATE)) NOT BETWEEN 0 AND 1"),
+    "dq_timestamp_date_window": _violation("R12", "tickets", "ticket_id", "'received_at'", _ts.format("received_at"), "1", "tickets WHERE date_diff('day', service_date, CAST(received_at AS DATE)) NOT BETWEEN 0 AND 1"),
     "dq_geo_bounds": _violation("R13", "stops", "stop_id", "'latitude,longitude'", "concat_ws(',', latitude, longitude)", "1", "stops WHERE NOT (latitude BETWEEN 11.9 AND 12.6 AND longitude BETWEEN 33.0 AND 33.8)"),
     "dq_count_vs_children": _violation("R14", "passenger_counts", "count_id", "'card_taps'", "CAST(card_taps AS VARCHAR)", "card_taps - coalesce(n, 0)", "passenger_counts LEFT JOIN (SELECT trip_id, count(DISTINCT ticket_id) AS n FROM tickets GROUP BY 1) USING (trip_id) WHERE card_taps > coalesce(n, 0)"),
     "dq_overlapping_intervals": _violation("R15", "schedules", "schedule_id", "'valid_from'", "CAST(valid_from AS VARCHAR)", "1", "(SELECT *, max(valid_to) OVER (PARTITION BY route_id, service_id, direction, period ORDER BY valid_from NULLS FIRST, valid_to NULLS FIRST, schedule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM schedules) WHERE valid_from < reach"),
 }
 
 
-# the rule of R15 where a null valid_to means no end, as the tables define it; kept apart from RULES, whose summary has a twin
+# the rule of R15 where a null valid_to means no end, as the tables define it
 OPEN_INTERVALS = Q.Rule("R15", "overlapping_intervals", "schedules", params=RULES["overlapping_intervals"].params | {"open_end": True})
 QUERIES["dq_overlapping_intervals_open"] = _rule_query(OPEN_INTERVALS)
 SQL["dq_overlapping_intervals_open"] = _violation("R15", "schedules", "schedule_id", "'valid_from'", "CAST(valid_from AS VARCHAR)", "1", "(SELECT *, max(coalesce(valid_to, DATE '9999-12-31')) OVER (PARTITION BY route_id, service_id, direction, period ORDER BY valid_from NULLS FIRST, valid_to NULLS LAST, schedule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM schedules) WHERE valid_from < reach")
 
 
-def dq_unparseable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of delays whose value fails, as violations with the value's detail; ``dq_unparseable_all`` has every failing line."""
-    from fareline.plans.problems import parsed_records, split_failed
-
-    failed = split_failed(parsed_records(spark, sf_dir)).where("table_name = 'delays' and reason = 'value'").distinct()
-    quarantined = failed.select(F.col("record_id").cast("string").alias("delay_id"), F.split_part("detail", F.lit(":"), F.lit(1)).alias("failed_columns"), F.col("detail").alias("raw_record"))
-    c = Q.Catalog({"delays": table(spark, sf_dir, "delays")}, _KEYS, {"delays": quarantined})
-    return Q.run_rule(c, Q.Rule("R05", "unparseable", "delays", params={"columns": ["delay_minutes"]}))
-
-
-def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.violation_summary(Q.run_rules(_catalog(spark, sf_dir), list(RULES.values())))
-
-
-SQL["dq_unparseable"] = _LINES + _violation("R05", "delays", "CAST(record_id AS VARCHAR)", "'delay_minutes'", "'delay_minutes: ' || v[1:80]", "1", "e WHERE table_name = 'delays' AND reason = 'value'")
-QUERIES |= {"dq_unparseable": dq_unparseable, "dq_summary": dq_summary}
-SQL["dq_summary"] = "SELECT rule_id, \"table\", count(*) AS records, sum(units)::BIGINT AS units FROM (" + " UNION ALL ".join(SQL[f"dq_{n}"] for n in RULES) + ") GROUP BY ALL"
-
 # the value tests of the lines, by table
 _TESTED = {"delays": "delay_minutes", "tickets": "entry_time", "passenger_counts": "boardings"}
 # places of the key and of trip_id in a line
@@ -578,13 +583,13 @@ def _unparseable(spark: SparkSession, sf_dir: str, failed: DataFrame) -> DataFra
     return Q.run_rules(Q.Catalog({n: table(spark, sf_dir, n) for n in lines}, _KEYS, lines), UNPARSEABLE)
 
 
-def dq_unparseable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dq_unparseable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every failing line of raw_records as a violation of its table: the column is the one whose value fails,
     or 'quoting' or 'columns'; the key is the record_id, the observed value the whole line."""
     return _unparseable(spark, sf_dir, _failed_lines(spark, sf_dir))
 
 
-def dq_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 15 checks. R11 and R14 also see quarantined children, as far as their fields are told apart (lines
     that fail by a value); R15 reads a null end as no end."""
     failed = _failed_lines(spark, sf_dir)
@@ -599,7 +604,7 @@ def dq_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.violation_summary(Q.run_rules(c, rules).unionByName(_unparseable(spark, sf_dir, failed)))
 
 
-QUERIES |= {"dq_unparseable_all": dq_unparseable_all, "dq_summary_all": dq_summary_all}
+QUERIES |= {"dq_unparseable": dq_unparseable, "dq_summary": dq_summary}
 
 
 def _field_sql(i: int) -> str:
@@ -614,8 +619,8 @@ _UNPARSEABLE_SQL = " UNION ALL ".join(_violation("R05", name, "CAST(record_id AS
 _MISSING_ALL = _violation("R11", "trips", "p", "'trip_id'", "o", "1", "(SELECT p, string_agg(DISTINCT c, ',' ORDER BY c) AS o FROM (" + " UNION ".join(f"SELECT trip_id AS p, '{n}' AS c FROM {n} UNION SELECT p, '{n}' FROM ({_children_sql(n, trip)}) AS q(p)" for n, (_, trip) in _PLACES.items()) + ") WHERE p IS NOT NULL AND p NOT IN (SELECT trip_id FROM trips WHERE trip_id IS NOT NULL) GROUP BY 1)")
 _CHILDREN_ALL = _violation("R14", "passenger_counts", "count_id", "'card_taps'", "CAST(card_taps AS VARCHAR)", "card_taps - coalesce(n, 0)", f"passenger_counts LEFT JOIN (SELECT trip_id, count(DISTINCT ticket_id) AS n FROM (SELECT trip_id, ticket_id FROM tickets UNION ALL {_children_sql('tickets', 3, 1)}) GROUP BY 1) USING (trip_id) WHERE card_taps > coalesce(n, 0)")
 _SUMMARY_ALL = {n: SQL[f"dq_{n}"] for n in RULES} | {"missing_parent": _MISSING_ALL, "count_vs_children": _CHILDREN_ALL, "overlapping_intervals": SQL["dq_overlapping_intervals_open"], "unparseable": _UNPARSEABLE_SQL}
-SQL["dq_unparseable_all"] = _LINES + _UNPARSEABLE_SQL
-SQL["dq_summary_all"] = _LINES + "SELECT rule_id, \"table\", count(*) AS records, sum(units)::BIGINT AS units FROM (" + " UNION ALL ".join(_SUMMARY_ALL.values()) + ") GROUP BY ALL"
+SQL["dq_unparseable"] = _LINES + _UNPARSEABLE_SQL
+SQL["dq_summary"] = _LINES + "SELECT rule_id, \"table\", count(*) AS records, sum(units)::BIGINT AS units FROM (" + " UNION ALL ".join(_SUMMARY_ALL.values()) + ") GROUP BY ALL"
 
 _CLEAN_RULES = [
     Q.Rule("C1", "value_range", "delays", action="correct", params={"column": "delay_minutes", "low": -60, "high": 600}),
@@ -626,15 +631,16 @@ _CLEAN_RULES = [
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, C.Correction], DataFrame, DataFrame]:
+    """The cleaned rows, the corrections, the removed copies and the rows whose copies conflict."""
     delays = table(spark, sf_dir, "delays")
-    kept, removed, _ = C.split_duplicates(delays, ["delay_id"])
+    kept, removed, conflicting = C.split_duplicates(delays, ["delay_id"])
     c = Q.Catalog({"delays": kept}, _KEYS)
     fixes = {"C1": C.from_minutes("delay_minutes", "scheduled_arrival", "actual_arrival", -60, 600), "C2": C.from_lookup("route_id", "trip_id", table(spark, sf_dir, "trips").where("route_id != ''"), "route_id")}
-    return C.clean(c, "delays", _CLEAN_RULES, Q.run_rules(c, _CLEAN_RULES), fixes), fixes, removed, delays
+    return C.clean(c, "delays", _CLEAN_RULES, Q.run_rules(c, _CLEAN_RULES), fixes), fixes, removed, conflicting
 
 
 _CLEAN_SQL = """
-WITH k AS (SELECT DISTINCT * FROM delays), l AS (SELECT trip_id, min(route_id) AS r FROM trips WHERE route_id <> '' AND trip_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT route_id) = 1),
+WITH c AS (SELECT delay_id FROM (SELECT DISTINCT * FROM delays) GROUP BY 1 HAVING count(*) > 1), k AS (SELECT DISTINCT * FROM delays ANTI JOIN c USING (delay_id)), l AS (SELECT trip_id, min(route_id) AS r FROM trips WHERE route_id <> '' AND trip_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT route_id) = 1),
 h AS (SELECT k.*, l.r, coalesce(delay_minutes NOT BETWEEN -60 AND 600, false) AS h1, route_id IS NULL OR trim(route_id) = '' AS h2, coalesce(actual_departure < actual_arrival, false) AS h3,
   coalesce(abs(epoch_us(actual_arrival) - epoch_us(scheduled_arrival)) > 12 * 3600000000, false) AS h4, round((epoch_us(actual_arrival) - epoch_us(scheduled_arrival)) / 6e7, 1) AS m FROM k LEFT JOIN l USING (trip_id)),
 f AS (SELECT *, h1 AND coalesce(m BETWEEN -60 AND 600, false) AS f1, h2 AND r IS NOT NULL AS f2 FROM h),
@@ -652,15 +658,16 @@ def clean_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned, _, removed, delays = _cleaned(spark, sf_dir)
-    return C.reconcile(delays, cleaned.where("dq_status != 'quarantined'"), removed, cleaned.where("dq_status = 'quarantined'"))
+    cleaned, _, removed, conflicting = _cleaned(spark, sf_dir)
+    held_back = cleaned.where("dq_status = 'quarantined'").select("delay_id").unionByName(conflicting.select("delay_id"))
+    return C.reconcile(table(spark, sf_dir, "delays"), cleaned.where("dq_status != 'quarantined'"), removed, held_back)
 
 
 QUERIES |= {"clean_rows": clean_rows, "clean_audit_log": clean_audit_log, "clean_reconcile": clean_reconcile}
 SQL |= {
     "clean_rows": _CLEAN_SQL + "SELECT delay_id, CASE WHEN f2 THEN r ELSE route_id END AS route_id, round(CASE WHEN f1 THEN m ELSE delay_minutes END, 3) AS delay_minutes, dq_status FROM s",
     "clean_audit_log": _CLEAN_SQL + ", g AS (SELECT 'C1' AS rule_id, CASE WHEN f1 THEN 'correct' ELSE 'flag' END AS action, dq_status FROM s WHERE h1 UNION ALL SELECT 'C2', CASE WHEN f2 THEN 'correct' ELSE 'flag' END, dq_status FROM s WHERE h2 UNION ALL SELECT 'C3', 'flag', dq_status FROM s WHERE h3 UNION ALL SELECT 'C4', 'quarantine', dq_status FROM s WHERE h4) SELECT rule_id, action, dq_status AS final_status, count(*) AS n FROM g GROUP BY ALL",
-    "clean_reconcile": _CLEAN_SQL + "SELECT (SELECT count(*) FROM delays) AS rows_in, count(*) FILTER (WHERE dq_status <> 'quarantined') AS clean, (SELECT count(*) FROM delays) - count(*) AS removed, count(*) FILTER (WHERE dq_status = 'quarantined') AS quarantined, true AS balanced FROM s",
+    "clean_reconcile": _CLEAN_SQL + ", n AS (SELECT (SELECT count(*) FROM delays) AS rows_in, count(*) FILTER (WHERE dq_status <> 'quarantined') AS clean, (SELECT count(*) FROM delays ANTI JOIN c USING (delay_id)) - count(*) AS removed, count(*) FILTER (WHERE dq_status = 'quarantined') + (SELECT count(*) FROM delays SEMI JOIN c USING (delay_id)) AS quarantined FROM s) SELECT *, rows_in = clean + removed + quarantined AS balanced FROM n",
 }
 
 # ---- features
@@ -671,7 +678,10 @@ def feat_split(trips):
     return X.split_by_day(trips, "service_date", 0.7, 0.15)
 
 
-@query("SELECT true AS train_before_validation, true AS validation_before_test")
+_SPLIT = "WITH d AS (SELECT DISTINCT service_date FROM trips WHERE service_date IS NOT NULL), r AS (SELECT service_date, row_number() OVER (ORDER BY service_date) AS i, count(*) OVER () AS n FROM d) SELECT service_date, CASE WHEN i <= round(n * 0.7) THEN 'train' WHEN i <= round(n * 0.7) + round(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM r"
+
+
+@query("SELECT max(service_date) FILTER (WHERE split = 'train') < min(service_date) FILTER (WHERE split = 'validation') AS train_before_validation, max(service_date) FILTER (WHERE split = 'validation') < min(service_date) FILTER (WHERE split = 'test') AS validation_before_test FROM (" + _SPLIT + ")")
 def feat_chronology(trips):
     return X.chronology(X.split_by_day(trips, "service_date", 0.7, 0.15), "service_date")
 
@@ -703,18 +713,8 @@ def stream_tumbling_counts(events):
     return live.tumbling_counts(events, "ts", ["event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("SELECT vehicle_id, time_bucket(INTERVAL 3 MINUTE, event_time, TIMESTAMP '1970-01-01') AS window_start, max(event_time) AS event_time, arg_max(event_type, event_time) AS event_type FROM gps_events WHERE vehicle_id <> '' GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 1")
-def stream_latest_positions(gps_events):
-    """The last event of the vehicle windows with one event_type; ``stream_latest_positions_all`` has every window."""
-    rows = gps_events.where("vehicle_id != ''")
-    one = rows.groupBy("vehicle_id", F.window("event_time", "3 minutes")["start"].alias("window_start")).agg(F.countDistinct("event_type").alias("types")).where("types = 1").drop("types")
-    last = live.latest_positions(rows, "vehicle_id", "event_time", ["event_type"])
-    kept = last.join(one.withColumn("window_start", F.col("window_start").cast("timestamp")), ["vehicle_id", "window_start"], "left_semi")
-    return kept.select("vehicle_id", F.col("window_start").cast("timestamp_ntz"), F.col("event_time").cast("timestamp_ntz"), "event_type")
-
-
 @query("SELECT vehicle_id, time_bucket(INTERVAL 3 MINUTE, event_time, TIMESTAMP '1970-01-01') AS window_start, max(event_time) AS event_time, first(event_type ORDER BY event_time DESC, event_id DESC NULLS LAST, event_type DESC NULLS LAST) AS event_type FROM gps_events WHERE vehicle_id <> '' AND event_time IS NOT NULL GROUP BY 1, 2")
-def stream_latest_positions_all(gps_events):
+def stream_latest_positions(gps_events):
     """The last event of every vehicle window; of several at the last instant the one with the greatest event_id, then event_type."""
     last = live.latest_positions(gps_events.where("vehicle_id != ''"), "vehicle_id", "event_time", ["event_type"], tie=["event_id", "event_type"])
     return last.select("vehicle_id", F.col("window_start").cast("timestamp_ntz"), F.col("event_time").cast("timestamp_ntz"), "event_type")

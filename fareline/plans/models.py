@@ -7,23 +7,25 @@ compared and used: choice on validation rows, refit on train and validation, one
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fareline.functions.expr import share
-from fareline.operators.aggregates import classification_report, regression_report
+from fareline.operators.aggregates import classification_report, classification_scores, regression_report
 from fareline.operators.features import split_by_day
 from fareline.operators.rolling import daily_values
-from fareline.operators.windows import lags, rolling_rows
-from fareline.session import checkpoint, table
+from fareline.operators.windows import lags, prior_mean, rolling_rows
+from fareline.plans.marts import mart
+from fareline.session import checkpoint, scratch, table
 
 SEED = 11
 
@@ -50,10 +52,21 @@ def preprocessing(numbers: Sequence[str], categories: Sequence[str] = (), scale:
     return [*stages, assembled, *([StandardScaler(inputCol="raw", outputCol="features", withMean=True)] if scale else [])]
 
 
-def class_weights(df: DataFrame, label: str, exponent: float = 1.0) -> DataFrame:
-    """weight: the inverse frequency of the row's class, to the exponent; 1 on average for exponent 1."""
+#: Candidates of a choice among several classes, each with its grid of parameters.
+CHOICES = {
+    "logistic": [LogisticRegression, {"regParam": (0.01, 0.1)}],
+    "forest": [RandomForestClassifier, {"maxDepth": (4, 7)}],
+    "one_vs_rest": [None, {"maxDepth": (3,)}],
+}
+
+
+def class_weights(df: DataFrame, label: str, exponent: float = 1.0, below: float = 1.0) -> DataFrame:
+    """weight: the inverse frequency of the row's class, to the exponent; 1 on average for exponent 1. Where the
+    rarest class has at least the share ``below`` of the rows, every weight is 1."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per class
     total = sum(counts.values())
+    if not counts or min(counts.values()) >= below * total:
+        return df.withColumn("weight", F.lit(1.0))
     weights = F.create_map([F.lit(x) for k, n in counts.items() for x in (k, (total / (len(counts) * n)) ** exponent)])
     return df.withColumn("weight", weights[F.col(label)])
 
@@ -102,6 +115,37 @@ def classify(df: DataFrame, label: str, numbers: Sequence[str], categories: Sequ
     return classification_report(test, label, "predicted").withColumn("threshold", F.lit(at))
 
 
+def choose_classifier(df: DataFrame, label: str, numbers: Sequence[str], categories: Sequence[str] = (), choices: Sequence[str] = tuple(CHOICES)) -> tuple[PipelineModel, DataFrame]:
+    """(model, scores) for a label of several classes, numbered from 0: every candidate of every grid is fitted on
+    train and scored on validation rows by macro F1; the best is refitted on both and scored once on test rows."""
+    parts = _parts(class_weights(df.withColumn(label, F.col(label).cast("double")), label, 0.5, below=0.15))
+    stages, rows, best = preprocessing(numbers, categories, scale=True), [], (-1.0, None, "")
+    for name in choices:
+        kind, grid = CHOICES[name]
+        for parameter, values in grid.items():
+            for value in values:
+                if kind is None:
+                    estimator = OneVsRest(classifier=GBTClassifier(maxIter=5, seed=SEED, **{parameter: value}), labelCol=label)
+                else:
+                    estimator = kind(labelCol=label, weightCol="weight", **({"seed": SEED, "numTrees": 10} if name == "forest" else {}), **{parameter: value})
+                fitted = Pipeline(stages=[*stages, estimator]).fit(parts["train"])
+                score = classification_scores(fitted.transform(parts["validation"]), label, "prediction").first()["macro_f1"] or 0.0
+                rows.append((name, f"{parameter}={value}", "validation", float(score)))
+                if score > best[0]:
+                    best = (score, estimator, f"{name} {parameter}={value}")
+    model = Pipeline(stages=[*stages, best[1]]).fit(parts["train"].unionByName(parts["validation"]))
+    final = classification_scores(model.transform(parts["test"]), label, "prediction").first()["macro_f1"] or 0.0
+    name, setting = best[2].split(" ", 1)
+    rows.append((name, setting, "test", float(final)))
+    return model, df.sparkSession.createDataFrame(rows, "model string, setting string, split string, macro_f1 double")
+
+
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """The model from its files, as another program would load it."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def _scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p1", vector_to_array("probability")[1])
 
@@ -130,8 +174,6 @@ def forecast(history: DataFrame, entity: str, day: str, value: str, horizon: int
     forecasts included: a recursion that never needs a loop over days, as a day depends on its own weekday alone. Within a weekday
     the recursion is unrolled over the (few) steps of the horizon.
     """
-    from pyspark.sql import Window
-
     rows = history.where(F.col(value).isNotNull())
     last = rows.groupBy(entity).agg(F.max(day).alias("__last"))
     aged = rows.join(last, entity).withColumn("__age", F.datediff("__last", day))
@@ -148,6 +190,54 @@ def forecast(history: DataFrame, entity: str, day: str, value: str, horizon: int
     return out.where(F.col("__ahead") <= horizon).select(entity, F.date_add("__last", F.col("__ahead").cast("int")).alias(day), F.get("h", F.lit(steps) - F.col("__i")).alias(value))
 
 
+#: Days of an entity's past that a step of the recursive forecast sees, newest first.
+PAST = 28
+STEP_FEATURES = ("lag_1", "lag_7", "lag_28", "mean_7", "mean_28", "dow")
+
+
+def step_features(df: DataFrame, past: str, day: str) -> DataFrame:
+    """Features of a day from the values of the PAST days before it, an array with the newest first."""
+    def mean(n: int):
+        return F.aggregate(F.slice(past, 1, n), F.lit(0.0), lambda a, x: a + x) / n
+
+    return df.withColumns({**{f"lag_{n}": F.get(past, F.lit(n - 1)) for n in (1, 7, 28)}, "mean_7": mean(7), "mean_28": mean(28), "dow": F.dayofweek(day).cast("double")})
+
+
+def daily_past(history: DataFrame, entity: str, day: str, value: str) -> DataFrame:
+    """(entity, day, value, past) for each day that has PAST days before it; days without a value count as the
+    mean of the entity's values in that time. A frame of PAST + 1 days of one entity at most is gathered."""
+    d = history.where(F.col(value).isNotNull()).groupBy(entity, day).agg(F.max(value).cast("double").alias(value)).withColumn("__i", F.unix_date(day))
+    w = Window.partitionBy(entity).orderBy("__i").rangeBetween(-PAST, -1)
+    first = F.min("__i").over(Window.partitionBy(entity).orderBy("__i").rangeBetween(Window.unboundedPreceding, 0))
+    seen = F.map_from_entries(F.collect_list(F.struct("__i", value)).over(w))
+    d = d.withColumns({"__seen": seen, "__mean": F.avg(value).over(w), "__first": first}).where(F.col("__i") - F.col("__first") >= PAST)
+    past = F.transform(F.sequence(F.lit(1), F.lit(PAST)), lambda n: F.coalesce(F.try_element_at("__seen", (F.col("__i") - n).cast("int")), F.col("__mean")))
+    return d.select(entity, day, value, past.alias("past"))
+
+
+def recursive_forecast(model: PipelineModel, history: DataFrame, entity: str, day: str, value: str, horizon: int) -> DataFrame:
+    """(entity, day, value) for ``horizon`` days after an entity's last one, each predicted from those before it,
+    predictions included. A loop over days, not over entities: every step is one transform of all of them, and what
+    it passes on is a row of PAST values an entity; the lineage is cut every seven steps."""
+    # the past of the day after the last one
+    ends = history.where(F.col(value).isNotNull()).groupBy(entity).agg(F.max(day).alias("__last"))
+    next_ = history.select(entity, day, value).unionByName(ends.select(entity, F.date_add("__last", 1).alias(day), F.lit(0).cast(history.schema[value].dataType).alias(value)))
+    state = daily_past(next_, entity, day, value).join(ends, entity).where(F.col(day) > F.col("__last")).select(entity, day, "past")
+    found = []
+    for step in range(horizon):
+        predicted = model.transform(step_features(state, "past", day)).select(entity, day, "past", F.greatest(F.col("prediction"), F.lit(0.0)).alias(value))
+        if step % 7 == 6 or step == horizon - 1:
+            predicted = checkpoint(predicted)
+        found.append(predicted.select(entity, day, value))
+        state = predicted.select(entity, F.date_add(day, 1).alias(day), F.concat(F.array(value), F.slice("past", 1, PAST - 1)).alias("past"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def fit_stepper(history: DataFrame, entity: str, day: str, value: str, model: str = "boosted") -> PipelineModel:
+    rows = checkpoint(step_features(daily_past(history, entity, day, value), "past", day))
+    return Pipeline(stages=[*preprocessing(STEP_FEATURES), REGRESSORS[model](value)]).fit(rows)
+
+
 def backtest(history: DataFrame, entity: str, day: str, value: str, horizon: int) -> DataFrame:
     """Errors of the forecast over each entity's own last ``horizon`` days, from what came before them."""
     ends = history.groupBy(entity).agg(F.max(day).alias("__end"))
@@ -206,5 +296,51 @@ def ml_network_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.agg(F.round(F.sum("b"), 4).alias("total"), F.max_by("service_date", "b").alias("peak_day"), F.round(F.try_divide(F.sum("b"), recent) - 1, 6).alias("growth"))
 
 
-QUERIES = {f.__name__: f for f in (ml_daily_boardings, ml_busy_day, ml_route_clusters, ml_forecast, ml_backtest, ml_network_forecast)}
+def ml_recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two weeks of each route, day by day from a model of the days before."""
+    h = _history(spark, sf_dir)
+    return recursive_forecast(fit_stepper(h, "route_id", "service_date", "boardings"), h, "route_id", "service_date", "boardings", 14).withColumn("boardings", F.round("boardings", 3))
+
+
+def _trip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured trips with what was known the day before: means of the same route, direction and hour."""
+    t = mart(spark, sf_dir).trips.where("occupancy is not null and h is not null")
+    cell = t.groupBy("route_id", "direction", "h", "service_date").agg(F.avg("occupancy").alias("o"), F.avg("delay").alias("d"))
+    cell = prior_mean(prior_mean(cell, ["route_id", "direction", "h"], ["service_date"], "o", "usual"), ["route_id", "direction", "h"], ["service_date"], "d", "usual_delay")
+    t = t.join(cell.select("route_id", "direction", "h", "service_date", "usual", "usual_delay"), ["route_id", "direction", "h", "service_date"])
+    t = t.join(F.broadcast(split_by_day(t, "service_date", 0.7, 0.15)), "service_date").where("usual is not null")
+    columns = {"hour": "h", "weekday": "dow", "peak_share": "peak_share", "length": "distance_km", "room": "capacity"}
+    return checkpoint(t.select("split", "occupancy", "band", "usual", "usual_delay", "route_type", *[F.col(c).cast("double").alias(n) for n, c in columns.items()]))
+
+
+_TRIP_NUMBERS = ("usual", "usual_delay", "hour", "weekday", "peak_share", "length", "room")
+
+
+def ml_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupancy of a trip, against the mean of its cell so far."""
+    out = regress(_trip_features(spark, sf_dir), "occupancy", _TRIP_NUMBERS, ["route_type"], "usual", ("linear", "tree"))
+    return out.select("model", "split", "n", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), F.round("r2", 4).alias("r2"), "chosen")
+
+
+def _band_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = F.create_map([F.lit(x) for pair in (("low", 0), ("normal", 1), ("high", 2), ("over", 3)) for x in pair])
+    return _trip_features(spark, sf_dir).withColumn("level", bands[F.col("band")].cast("double"))
+
+
+def ml_band_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of occupancy: candidates and grids on validation rows, the best one on test rows."""
+    _, scores = choose_classifier(_band_numbers(spark, sf_dir), "level", _TRIP_NUMBERS, ["route_type"], ("logistic", "forest"))
+    return scores.withColumn("macro_f1", F.round("macro_f1", 4))
+
+
+def ml_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model saved and loaded predicts the same: rows, and how many of them differ."""
+    rows = _trip_features(spark, sf_dir)
+    fitted = Pipeline(stages=[*preprocessing(_TRIP_NUMBERS, ["route_type"]), REGRESSORS["tree"]("occupancy")]).fit(rows.where("split = 'train'"))
+    again = saved(fitted, scratch(spark))
+    both = fitted.transform(rows).select("prediction", *rows.columns).withColumnRenamed("prediction", "before")
+    return again.transform(both).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("before") != F.col("prediction"), 1)).alias("differing"))
+
+
+QUERIES = {f.__name__: f for f in (ml_daily_boardings, ml_busy_day, ml_route_clusters, ml_forecast, ml_backtest, ml_network_forecast, ml_recursive_forecast, ml_occupancy, ml_band_choice, ml_saved_model)}
 SQL: dict[str, str] = {}

@@ -59,12 +59,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder, which goes when the program ends: readers
-    take only the columns they need, and Spark knows its size when it chooses a join."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder; what is written there goes when the program ends."""
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
     def remove() -> None:
         try:
@@ -74,7 +71,15 @@ def stored(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: readers take only the columns they need, and
+    Spark knows its size when it chooses a join."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -219,6 +219,41 @@ def parse_lines(lines: DataFrame, contracts: dict[str, Contract], key: str, tabl
     return lines.select(F.col(key).alias("__key"), F.col(table).cast("string").alias("t"), F.col(line).cast("string").alias("l")).mapInArrow(run, f"__key {kind}, {RESULT}").withColumnRenamed("__key", key)
 
 
+RECORDS = "table_name string, record_no int, begin int, reason string, detail string, error_at int, values array<string>"
+
+
+def parse_texts(texts: DataFrame, contracts: dict[str, Contract], key: str, table: str = "table_name", text: str = "text") -> DataFrame:
+    """One row per record of texts that hold many: ``key``, table_name, record_no (from 0), begin (offset), reason,
+    detail, error_at and, without a reason, the values.
+
+    A record that breaks the grammar ends where the next validated record start is, so one stray quote does not
+    take the records after it along. Null and empty texts have no record; blank lines are none. A text is parsed
+    by one task: callers cut larger files into blocks. A table without a contract is one record with the reason 'table'.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = {name: re.compile(c.anchor) for name, c in contracts.items()}
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()))
+        names = ["__key", *(f.split()[0] for f in RECORDS.split(", "))]
+        for batch in batches:
+            at, rows = [], []
+            for i, (name, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if not body:
+                    continue
+                records = parse(body, contracts[name], anchors[name]) if name in contracts else [Record([], 0, (0, "no contract"))]
+                records = [r for r in records if r.error or r.values != [""]]
+                for n, r in enumerate(records):
+                    wrong = verdict(r, contracts[name]) if name in contracts else ("table", "no contract", 0)
+                    at.append(i)
+                    rows.append((name, n, r.begin, *(wrong or (None, None, None)), None if wrong else r.values))
+            columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=names)
+
+    kind = texts.schema[key].dataType.simpleString()
+    picked = texts.select(F.col(key).alias("__key"), F.col(table).cast("string").alias("t"), F.col(text).cast("string").alias("l"))
+    return picked.mapInArrow(run, f"__key {kind}, {RECORDS}").withColumnRenamed("__key", key)
+
+
 def typed(parsed: DataFrame, contract: Contract, table: str, key: str, types: Sequence[str]) -> DataFrame:
     """The valid rows of one table as typed columns; '' is null. Values that no test covers and that do not
     fit their type are null as well."""

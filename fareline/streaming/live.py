@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,11 @@ def split_late(events: DataFrame, at: str, day: str, low_days: int, high_days: i
     return events.where(inside), events.where(~inside)
 
 
+def same_weekday(now: Column, last: Column) -> Column:
+    """The last day up to ``last`` that is of the weekday of ``now``."""
+    return F.date_sub(last, F.pmod(F.dayofweek(last) - F.dayofweek(now), F.lit(7)))
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that is available, into an in-memory table: for tests and small looks."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

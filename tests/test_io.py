@@ -130,5 +130,5 @@ def test_latest_positions_of_every_window(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     events = [("a", "v", t, "stop"), ("b", "v", t + dt.timedelta(seconds=9), "move"), ("d", "w", t, "stop"), ("c", "w", t, "move"), ("e", "x", t, "stop")]
     spark.createDataFrame(events, "event_id string, vehicle_id string, event_time timestamp_ntz, event_type string").write.parquet(str(tmp_path / "gps_events.parquet"))
-    last = QUERIES["stream_latest_positions_all"](spark, str(tmp_path))
+    last = QUERIES["stream_latest_positions"](spark, str(tmp_path))
     assert sorted((r.vehicle_id, r.event_type) for r in last.collect()) == [("v", "move"), ("w", "stop"), ("x", "stop")]

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fareline.sources.recovery import Contract, is_decimal, is_int32, is_moment, line_verdict, parse, parse_lines, typed, verdict
+from fareline.sources.recovery import Contract, Grammar, is_decimal, is_int32, is_moment, line_verdict, parse, parse_lines, parse_texts, typed, verdict
 
 C = Contract(("id", "name", "n"), r'"?K[0-9]+"?,', {"n": is_int32})
 ANCHOR = re.compile(C.anchor)
@@ -68,7 +68,23 @@ def test_every_failing_line_is_a_violation_of_its_table(spark, tmp_path):
     spark.createDataFrame(lines, "record_id long, table_name string, raw_line string").write.parquet(str(tmp_path / "raw_records.parquet"))
     for name in ("delays", "tickets", "passenger_counts"):
         spark.createDataFrame([], "trip_id string").write.parquet(str(tmp_path / f"{name}.parquet"))
-    found = QUERIES["dq_unparseable_all"](spark, str(tmp_path)).collect()
+    found = QUERIES["dq_unparseable"](spark, str(tmp_path)).collect()
     text = {str(i): line for i, _, line in lines}
     assert sorted((r.record_key, r.table, r.column) for r in found) == [("1", "delays", "columns"), ("2", "tickets", "entry_time"), ("3", "passenger_counts", "quoting"), ("4", "passenger_counts", "boardings")]
     assert all(r.observed_value == text[r.record_key] for r in found)
+
+
+BLOCK = 'K1,a,1\nK2,"broken,2\nnot a record\nK3,b,3\n\nK4,c\nK5,"d\ne",x'
+
+
+def test_texts_of_many_records(spark):
+    df = spark.createDataFrame([("p", "t", BLOCK), ("q", "t", None), ("r", "t", ""), ("s", "u", "K1,a,1")], "part string, table_name string, text string")
+    found = [(r.part, r.record_no, r.reason, r["values"] and r["values"][0]) for r in parse_texts(df, {"t": C}, "part").orderBy("part", "record_no").collect()]
+    assert found == [("p", 0, None, "K1"), ("p", 1, "quoting", None), ("p", 2, None, "K3"), ("p", 3, "columns", None), ("p", 4, "value", None), ("s", 0, "table", None)]
+
+
+def test_without_resuming_the_records_after_a_broken_one_are_lost(monkeypatch):
+    monkeypatch.setattr(Grammar, "resume", lambda self: setattr(self, "at", len(self.text)))
+    assert [r.values[0] for r in parse(BLOCK, C) if not r.error] == ["K1"]
+    monkeypatch.undo()
+    assert [r.values[0] for r in parse(BLOCK, C) if not r.error] == ["K1", "K3", "", "K4", "K5"]
