@@ -40,9 +40,13 @@ def _texts(delays: DataFrame) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    path = scratch(spark)
-    writer = _texts(table(spark, sf_dir, "delays")).write
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path)
+    path, rows = scratch(spark), _texts(table(spark, sf_dir, "delays"))
+    if fmt == "csv":
+        rows.write.option("header", True).csv(path)
+    else:  # numbers as numbers, what is no number as a text
+        others = [c for c in rows.columns if c != "delay_minutes"]
+        number = F.col("delay_minutes").try_cast("double").alias("delay_minutes")
+        rows.select(F.when(F.col("delay_minutes") == "n/a", F.to_json(F.struct(*rows.columns))).otherwise(F.to_json(F.struct(*others, number))).alias("value")).write.text(path)
     return R.typed_scan(spark, path, DELAYS, fmt)
 
 

@@ -380,9 +380,9 @@ def decide_whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.union_all(parts).select("scenario", "route_id", "direction", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
-@query(BASE + _RIDES + """, f AS (SELECT entry_stop_id AS stop_id, entry_period AS period, service_date, count(*) AS n FROM ride WHERE entry_period IS NOT NULL GROUP BY ALL),
-g AS (SELECT stop_id, period, unnest(generate_series((SELECT min(service_date) FROM f), (SELECT max(service_date) FROM f), INTERVAL 1 DAY))::DATE AS service_date FROM (SELECT DISTINCT stop_id, period FROM f)),
-d AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN f USING (stop_id, period, service_date))
+@query(BASE + _RIDES + """, sf AS (SELECT entry_stop_id AS stop_id, entry_period AS period, service_date, count(*) AS n FROM ride WHERE entry_period IS NOT NULL GROUP BY ALL),
+g AS (SELECT stop_id, period, unnest(generate_series((SELECT min(service_date) FROM sf), (SELECT max(service_date) FROM sf), INTERVAL 1 DAY))::DATE AS service_date FROM (SELECT DISTINCT stop_id, period FROM sf)),
+d AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN sf USING (stop_id, period, service_date))
 SELECT *, lag(n) OVER w AS n_lag_1, lag(n, 7) OVER w AS n_lag_7 FROM d WINDOW w AS (PARTITION BY stop_id, period ORDER BY service_date)""")
 def feat_stop_period_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taps of every stop and period on every day, days without a tap included, with their lags."""
