@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareline.operators import quality as Q
+from fareline.plans.decisions import write_table
 from fareline.plans.templates import Project, band_case
 from fareline.session import scratch, table
 from fareline.sources import readers as R
@@ -28,7 +30,7 @@ def query(sql: str | None = None):
     return register
 
 
-DELAYS = T.StructType.fromDDL("delay_id string, trip_id string, service_date date, scheduled_arrival timestamp_ntz, delay_minutes double")
+DELAYS = T.StructType([T.StructField(n, t()) for n, t in (("delay_id", T.StringType), ("trip_id", T.StringType), ("service_date", T.DateType), ("scheduled_arrival", T.TimestampNTZType), ("delay_minutes", T.DoubleType))])
 
 
 def _texts(delays: DataFrame) -> DataFrame:
@@ -171,6 +173,17 @@ def io_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Project(texts, {"status": "active"}, ("io_banded",), scratch(spark)).build(spark, ["io_counted"])["io_counted"]
 
 
+@query("SELECT route_id, distance_km, base_fare FROM routes WHERE route_id <> ''")
+def io_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a database table replaced twice, its definition kept, and read back: in an embedded database in the
+    memory of the driver, so the read is stored before the result leaves it."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    rows = table(spark, sf_dir, "routes").where("route_id != ''").select("route_id", "distance_km", "base_fare")
+    for part in (rows.limit(1), rows):
+        write_table(part, url, "routes", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    return spark.createDataFrame(spark.read.jdbc(url, "routes").toArrow())
+
+
 def p2_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines put together to texts of many records, which the grammar takes apart again: after a broken record it
     resumes at the next validated record start. A row per record, as ``parse_texts`` gives them; texts are blocks of at

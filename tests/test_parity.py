@@ -33,3 +33,12 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_is_named_once_and_has_a_table_to_read():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) - len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and int(done.stdout) >= 0, done.stderr[-500:]
