@@ -36,12 +36,18 @@ def rolling_totals(df: DataFrame, entity: str, day: str, value: str, windows: Se
     reach = max(windows) - 1
     block = math.lcm(*windows) * max(1, 180 // math.lcm(*windows))
     if block > 4 * 366:
-        block = 4 * 366  # windows without a small common multiple: blocks of a window are cut at its border
+        block = max(4 * 366, reach)  # windows without a small common multiple: blocks of a window are cut at its border
     daily = daily_values(df, entity, day, value, version).withColumn("d", F.unix_date("day"))
-    span = daily.groupBy("entity").agg(F.min("d").alias("first"), F.max("d").alias("last"))
-    blocks = span.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))))
-    days = blocks.withColumn("d", F.explode(F.sequence(F.greatest("first", F.col("block") * block - reach), F.least("last", (F.col("block") + 1) * block - 1)).cast("array<int>")))
-    dense = days.join(daily.select("entity", "d", "value"), ["entity", "d"], "left").repartition("entity", "block").withColumn("x", F.coalesce(F.col("value").cast("long"), F.lit(0).cast("long")))
+    # a row per day of the calendar at most, whatever the share of an entity's rows was
+    line = Window.partitionBy("entity").orderBy("d")
+    gaps = daily.withColumns({"first": F.first("d").over(line), "next": F.lead("d").over(line)})
+    days = gaps.select("entity", "first", "value", F.col("d").alias("of"), F.explode(F.sequence("d", F.coalesce(F.col("next") - 1, F.col("d")))).alias("d"))
+    days = days.withColumn("value", F.when(F.col("d") == F.col("of"), F.col("value"))).drop("of")
+    # the last days of a super-block are the halo of the one after, if the entity has that
+    own = F.floor(F.col("d") / block)
+    halo = F.when(F.pmod("d", F.lit(block)) >= block - reach, own + 1) if reach else F.lit(None)
+    blocks = F.explode(F.array_compact(F.array(own, halo)))
+    dense = days.select("*", blocks.alias("block")).repartition("entity", "block").withColumn("x", F.coalesce(F.col("value").cast("long"), F.lit(0).cast("long")))
     out, ordered = dense, Window.partitionBy("entity", "block").orderBy("d")
     for w in windows:
         # blocks of w days counted from the super-block's first day; the halo's are numbered below 0
