@@ -105,5 +105,6 @@ def pack(sizes: DataFrame, capacity: int, rows: int, key: str = "doc_id", size:
             types = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "piece", "token_start", "n_tokens", "shard", "bin"])
 
-    placed = items.repartition(shards, "shard").sortWithinPartitions("shard", "key", "n").mapInArrow(run, PLACED.format(kind=kind))
+    # a shard is a task: hashes of shard numbers would put several into one and none into others
+    placed = items.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "n").mapInArrow(run, PLACED.format(kind=kind))
     return placed.select(F.col("key").alias(key), "piece", "token_start", "n_tokens", F.when(F.col("bin").isNotNull(), F.concat_ws("-", "shard", "bin")).alias("sequence_id"))
