@@ -296,6 +296,21 @@ def ml_network_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.agg(F.round(F.sum("b"), 4).alias("total"), F.max_by("service_date", "b").alias("peak_day"), F.round(F.try_divide(F.sum("b"), recent) - 1, 6).alias("growth"))
 
 
+def one_step_backtest(history: DataFrame, entity: str, day: str, value: str, days: int, model: str = "boosted") -> DataFrame:
+    """(model, n, mae, rmse, r2, mape) of each entity's last ``days`` days, predicted one by one from the true days
+    before by a model that saw none of them, beside two baselines: a week before, and the mean of PAST days."""
+    rows = checkpoint(step_features(daily_past(history, entity, day, value), "past", day))
+    rows = rows.join(rows.groupBy(entity).agg(F.max(day).alias("__end")), entity)
+    seen = F.col(day) <= F.date_sub("__end", days)
+    fitted = Pipeline(stages=[*preprocessing(STEP_FEATURES), REGRESSORS[model](value)]).fit(rows.where(seen))
+    test = fitted.transform(rows.where(~seen))
+    return reduce(DataFrame.unionByName, [regression_report(test, value, c).select(F.lit(n).alias("model"), "*") for n, c in ((model, "prediction"), ("week_before", "lag_7"), ("mean", "mean_28"))])
+
+
+def ml_step_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_step_backtest(_history(spark, sf_dir), "route_id", "service_date", "boardings", 14).select("model", "n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
+
+
 def ml_recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two weeks of each route, day by day from a model of the days before."""
     h = _history(spark, sf_dir)
@@ -342,5 +357,5 @@ def ml_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.transform(both).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("before") != F.col("prediction"), 1)).alias("differing"))
 
 
-QUERIES = {f.__name__: f for f in (ml_daily_boardings, ml_busy_day, ml_route_clusters, ml_forecast, ml_backtest, ml_network_forecast, ml_recursive_forecast, ml_occupancy, ml_band_choice, ml_saved_model)}
+QUERIES = {f.__name__: f for f in (ml_daily_boardings, ml_busy_day, ml_route_clusters, ml_forecast, ml_backtest, ml_network_forecast, ml_recursive_forecast, ml_step_backtest, ml_occupancy, ml_band_choice, ml_saved_model)}
 SQL: dict[str, str] = {}

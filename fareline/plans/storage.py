@@ -176,12 +176,12 @@ def io_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT route_id, distance_km, base_fare FROM routes WHERE route_id <> ''")
 def io_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a database table replaced twice, its definition kept, and read back: in an embedded database in the
-    memory of the driver, so the read is stored before the result leaves it."""
+    memory of a local session."""
     url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
     rows = table(spark, sf_dir, "routes").where("route_id != ''").select("route_id", "distance_km", "base_fare")
     for part in (rows.limit(1), rows):
         write_table(part, url, "routes", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
-    return spark.createDataFrame(spark.read.jdbc(url, "routes").toArrow())
+    return spark.read.jdbc(url, "routes", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
 
 
 def p2_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:

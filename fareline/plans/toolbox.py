@@ -15,7 +15,9 @@ from fareline.operators import windows as W
 from fareline.plans import decisions as D
 from fareline.plans.catalog import _DAILY, _daily, r6
 from fareline.plans.marts import mart
+from fareline.plans.transit import of
 from fareline.plans.transit_sql import _EVENTS, _RIDES, BASE
+from fareline.plans.transit_sql import SQL as TWINS
 from fareline.session import table
 from fareline.streaming import live
 
@@ -388,3 +390,56 @@ def feat_stop_period_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taps of every stop and period on every day, days without a tap included, with their lags."""
     f = mart(spark, sf_dir).rides.where("entry_period is not null").groupBy(F.col("entry_stop_id").alias("stop_id"), F.col("entry_period").alias("period"), "service_date").agg(F.count(F.lit(1)).alias("n"))
     return W.lags(J.dense_grid(f, ["stop_id", "period"], "service_date", ["n"]), ["stop_id", "period"], ["service_date"], "n", (1, 7))
+
+
+#: The joins of the tables: (name, left table, its column, right table, its column).
+JOINS = (
+    ("tickets_trips", "tickets", "trip_id", "trips", "trip_id"), ("trips_routes", "trips", "route_id", "routes", "route_id"), ("trips_vehicles", "trips", "vehicle_id", "vehicles", "vehicle_id"),
+    ("trips_schedules", "trips", "schedule_id", "schedules", "schedule_id"), ("tickets_stops", "tickets", "entry_stop_id", "stops", "stop_id"), ("routes_stops", "routes", "origin_stop_id", "stops", "stop_id"),
+    ("delays_trips", "delays", "trip_id", "trips", "trip_id"), ("counts_trips", "passenger_counts", "trip_id", "trips", "trip_id"), ("events_stops", "gps_events", "stop_id", "stops", "stop_id"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS pair, count(*) AS left_rows, sum(coalesce(n, 1))::BIGINT AS output_rows, count(*) FILTER (WHERE n IS NULL) AS orphans FROM {a} l LEFT JOIN (SELECT {y} AS k, count(*) AS n FROM {b} GROUP BY 1) r ON l.{x} = r.k" for n, a, x, b, y in JOINS))
+def join_measured_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine joins between the tables: what goes in, what comes out, what finds nothing."""
+    parts = []
+    for name, a, x, b, y in JOINS:
+        left, right = table(spark, sf_dir, a).select(F.col(x).alias("k")), table(spark, sf_dir, b).select(F.col(y).alias("k"))
+        parts.append(J.measured_left_join(left, right, ["k"]).select(F.lit(name).alias("pair"), "*"))
+    return A.union_all(parts)
+
+
+_CELL = "concat_ws('/', route_id, direction, day_class, period)"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, {entity} AS entity, round({evidence}, 4)::DOUBLE AS evidence, {priority}::INT AS priority FROM ({source}) WHERE {when}"
+        for kind, source, entity, when, evidence, priority in (
+            ("more_trips", TWINS["an_service_frequency"], _CELL, "state = 'too_little'", "occupancy", 1),
+            ("fewer_trips", TWINS["an_service_frequency"], _CELL, "state = 'too_much'", "occupancy", 3),
+            ("larger_vehicle", TWINS["an_demand_supply_gap"], _CELL, "suggestion = 'larger'", "utilisation", 1),
+            ("smaller_vehicle", TWINS["an_demand_supply_gap"], _CELL, "suggestion = 'smaller'", "utilisation", 3),
+            ("lasting_overload", TWINS["an_persistent_overcrowding"], "concat_ws('/', route_id, direction, dow, period)", "pattern = 'persistent'", "part", 0),
+            ("bottleneck", TWINS["an_delay_by_stop"], "stop_id", "bottleneck", "congestion_rate", 2),
+            ("often_odd", f"SELECT entity, count(*) AS n FROM ({TWINS['an_anomalies']}) GROUP BY 1", "entity", "n >= 5", "n", 4),
+        )
+    )
+)
+def decide_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on the results of the statements: which fire where, and by what number."""
+    m = mart(spark, sf_dir)
+    from fareline.plans import transit
+
+    transit.register(m)
+    cell = F.concat_ws("/", "route_id", "direction", "day_class", "period")
+    frequency, gap, lasting = of(m, "an_service_frequency"), of(m, "an_demand_supply_gap"), of(m, "an_persistent_overcrowding")
+    odd = of(m, "an_anomalies").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    rules = [
+        D.Rule("more_trips", frequency, cell, F.col("state") == "too_little", F.col("occupancy"), 1), D.Rule("fewer_trips", frequency, cell, F.col("state") == "too_much", F.col("occupancy"), 3),
+        D.Rule("larger_vehicle", gap, cell, F.col("suggestion") == "larger", F.col("utilisation"), 1), D.Rule("smaller_vehicle", gap, cell, F.col("suggestion") == "smaller", F.col("utilisation"), 3),
+        D.Rule("lasting_overload", lasting, F.concat_ws("/", "route_id", "direction", "dow", "period"), F.col("pattern") == "persistent", F.col("part"), 0),
+        D.Rule("bottleneck", of(m, "an_delay_by_stop"), F.col("stop_id"), F.col("bottleneck"), F.col("congestion_rate"), 2), D.Rule("often_odd", odd, F.col("entity"), F.col("n") >= 5, F.col("n"), 4),
+    ]
+    return D.fired(rules).select("kind", "entity", F.round("evidence", 4).alias("evidence"), "priority")

@@ -92,3 +92,9 @@ def test_one_cluster_is_never_chosen(spark):
     df = spark.createDataFrame([(i, float(i % 2) * 10 + i / 100, 1.0) for i in range(20)], "i int, a double, b double")
     rows, scores = M.cluster(df, ["a"], (2,), ("kmeans", "bisecting"))
     assert rows.select("cluster").distinct().count() == 2 and scores.count() == 2
+
+
+def test_one_step_backtest_beside_baselines(spark):
+    out = {r.model: r for r in M.one_step_backtest(days(spark, [100 + (i % 7) * 10 for i in range(120)]), "e", "d", "x", 14, "tree").collect()}
+    assert {r.n for r in out.values()} == {14} and out["week_before"].mae == 0.0
+    assert out["tree"].mae < out["mean"].mae
