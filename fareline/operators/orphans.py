@@ -148,13 +148,14 @@ def orphan_references(references: DataFrame, parents: Parents | dict[str, Parent
         return rows.select(*kept, F.col("__reason").alias("reason"))
     # what waits is looked up by key and salt; what is decided has a null key and goes anywhere
     hot = hot_keys(refs.where(of_large).select(F.concat_ws("\x1f", "__which", "key").alias("k")), "k", max_rows)[1]
-    of = F.create_map([F.lit(x) for k, n in hot.items() for x in (k, -(-n // max_rows))]) if hot else F.expr("map('', 1)")
+    of = F.create_map([F.lit(x) for k, n in hot.items() for x in (k, -(-n // max_rows))]) if hot else None
 
     def salts(which: str, key: str) -> Column:
-        return F.coalesce(F.try_element_at(of, F.concat_ws("\x1f", which, key)), F.lit(1))
+        return F.coalesce(F.try_element_at(of, F.concat_ws("\x1f", which, key)), F.lit(1)) if hot else F.lit(1)
 
-    spread = F.xxhash64(*[c for c, t in references.dtypes if "map<" not in t])
-    salt = F.when(F.col("__pending"), F.pmod(spread, salts("__which", "key"))).otherwise(F.pmod(spread, F.lit(4096))).cast("int")
+    spread = F.xxhash64(*[c for c, t in references.dtypes if "map<" not in t])  # taken of few rows
+    n = salts("__which", "key")
+    salt = F.when(~F.col("__pending"), F.pmod(spread, F.lit(4096))).when(n > 1, F.pmod(spread, n)).otherwise(0).cast("int")
     left = rows.select(*kept, "__reason", F.when(F.col("__pending"), F.col("__which")).alias("__b_which"), F.when(F.col("__pending"), F.col("key")).alias("__b_key"), salt.alias("__salt"))
     right = facts(large, "__b_").withColumn("__salt", F.explode(F.sequence(F.lit(0), (salts("__b_which", "__b_key") - 1).cast("int"))))
     out = left.join(right, ["__b_which", "__b_key", "__salt"], "left")

@@ -160,10 +160,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     for child, record, day, at, of in fields:
         when = F.col(at) if at else F.lit(None).cast("timestamp_ntz")
         each = F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(parent).alias("parent"), F.col(f).alias("key")) for f, parent in of.items()]))
-        rows = table(spark, sf_dir, child).select(F.lit(child).alias("table_name"), F.col(record).alias("record_key"), F.date_format(day, "yyyy-MM").alias("period"), when.alias("at"), each)
+        rows = table(spark, sf_dir, child).select(F.lit(child).alias("table_name"), F.col(record).alias("record_key"), F.col(day).alias("day"), when.alias("at"), each)
         refs = rows if refs is None else refs.unionByName(rows)
     # copies of a record name the same reference: one row
-    return orphan_references(refs, parents).select("table_name", "field_name", "record_key", "period", "reason").distinct()
+    period = F.date_format("day", "yyyy-MM").alias("period")
+    return orphan_references(refs, parents).select("table_name", "field_name", "record_key", period, "reason").distinct()
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
