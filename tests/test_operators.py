@@ -191,3 +191,56 @@ def test_forecast_takes_a_weekdays_last_values_however_old(spark, rows):
 
     history = spark.createDataFrame([("r", day(0), 5.0), ("r", day(7), 7.0), ("r", day(141), 9.0)], "e string, d date, x double")
     assert rows(forecast(history, "e", "d", "x", 7), "d", "x") == [(day(147), 6.0), (day(148), 9.0)]
+
+
+def test_bands_that_do_not_fit_their_labels_are_refused(spark, rows):
+    df = spark.createDataFrame([(1.0,), (9.0,), (None,)], "x double")
+    assert rows(df.select(E.guarded_band(F.col("x"), ((5.0, "a"), (None, "b")), ("a", "b")))) == [("a",), ("b",), (None,)]
+    for bands, labels in ((((5.0, "a"), (None, "b")), ("b", "a")), (((5.0, "a"), (3.0, "b"), (None, "c")), ("a", "b", "c")), (((5.0, "a"), (9.0, "b")), ("a", "b"))):
+        with pytest.raises(ValueError):
+            E.guarded_band(F.col("x"), bands, labels)
+
+
+def test_two_labellings(spark, rows):
+    same = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 2), (None, 2)], "x string, y int")
+    assert A.adjusted_rand(same, "x", "y").first().adjusted_rand == pytest.approx(1.0)
+    mixed = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2)], "x string, y int")
+    assert A.adjusted_rand(mixed, "x", "y").first().adjusted_rand == pytest.approx(-0.5)
+    assert rows(A.crosstab(same, "x", "y")) == [("a", 1, 2), ("b", 2, 2)]
+
+
+def test_scores_and_parity(spark, rows):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "l string, p string")
+    s = A.classification_scores(df, "l", "p").first()
+    assert (s.accuracy, s.macro_f1) == (0.5, pytest.approx((2 / 3 + 0.5 + 0) / 3)) and s.weighted_f1 == pytest.approx((2 * 2 / 3 + 0.5) / 4)
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "n int, k string")
+    b = spark.createDataFrame([(1, "x"), (3, "x")], "n int, k string")
+    assert rows(A.store_parity(a, b), "column", "sum_a", "sum_b", "same") == [("k", None, None, False), ("n", 3.0, 4.0, False)]
+    assert all(r.same for r in A.store_parity(a, a).collect())
+    assert rows(A.band_accuracy(spark.createDataFrame([(10.0, 11.0), (10.0, 12.5), (None, 1.0)], "y double, p double"), "y", "p", {"near": (1.0, 0.0), "part": (0.0, 0.3)})) == [(0.5, 1.0, 2)]
+    assert rows(A.flat_metrics(spark.createDataFrame([("g", 1, None)], "g string, a int, b double"), "g", ["a", "b"])) == [("g", "a", 1.0)]
+
+
+def test_corrections_of_coordinates_and_sequences(spark, rows):
+    df = spark.createDataFrame([(1, 33.2, 12.1), (2, 50.0, 12.1), (3, None, 12.1)], "id int, lat double, lon double")
+    lat, lon = C.swapped("lat", "lon", [11.9, 12.6, 33.0, 33.8])
+    assert rows(df.select("id", lat.apply(df)[1], lon.apply(df)[1])) == [(1, 12.1, 33.2), (2, None, None), (3, None, None)]
+    lines = spark.createDataFrame([("o", 5, "b"), ("o", 5, "a"), ("p", 2, "c")], "g string, n int, k string")
+    assert rows(lines.select("g", "k", C.resequenced("n", ["g"], ["n", "k"]).apply(lines)[1].alias("n"))) == [("o", "a", 1), ("o", "b", 2), ("p", "c", 1)]
+
+
+def test_results_with_clashing_columns_are_not_joined(spark):
+    a = spark.createDataFrame([(1, 2)], "k int, v int")
+    with pytest.raises(ValueError):
+        J.inner_on(a, a, ["k"])
+    assert J.inner_on(a, a.withColumnRenamed("v", "w"), ["k"]).count() == 1
+
+
+def test_row_rules_of_a_table_take_one_scan(spark):
+    t = spark.createDataFrame([("1", -1, None), ("2", 5, "x")], "id string, n int, s string")
+    c = Q.Catalog({"t": t}, {"t": ["id"]})
+    found = Q.run_rules(c, [Q.Rule("A", "non_negative", "t", params={"columns": ["n"]}), Q.Rule("B", "required_value", "t", params={"column": "s"}), Q.Rule("C", "value_range", "t", params={"column": "n", "high": 3})])
+    assert sorted((r.rule_id, r.record_key) for r in found.collect()) == [("A", "1"), ("B", "1"), ("C", "2")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    with pytest.raises(KeyError):
+        Q.run_rules(c, [Q.Rule("X", "no_such_check", "t")])
