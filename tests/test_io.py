@@ -132,3 +132,12 @@ def test_latest_positions_of_every_window(spark, tmp_path):
     spark.createDataFrame(events, "event_id string, vehicle_id string, event_time timestamp_ntz, event_type string").write.parquet(str(tmp_path / "gps_events.parquet"))
     last = QUERIES["stream_latest_positions"](spark, str(tmp_path))
     assert sorted((r.vehicle_id, r.event_type) for r in last.collect()) == [("v", "move"), ("w", "stop"), ("x", "stop")]
+
+
+def test_reports(spark):
+    from fareline.plans.decisions import to_json_report, to_markdown
+
+    df = spark.createDataFrame([(1, "a|b"), (2, None), (3, "c")], "n int, k string").orderBy("n")
+    assert to_markdown(df).splitlines() == ["| n | k |", "|---|---|", "| 1 | a\\|b |", "| 2 |  |", "| 3 | c |"]
+    assert to_markdown(df, 1).splitlines()[-1] == "2 more rows"
+    assert json.loads(to_json_report({"s": df}, 1)) == {"s": {"rows": 3, "first": [{"n": 1, "k": "a|b"}]}}
