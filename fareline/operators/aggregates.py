@@ -123,18 +123,19 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: the adjusted Rand index of two labellings of the same rows, from their contingency table."""
-    cells = crosstab(df, a, b).withColumn("n", F.col("n").cast("double"))
+    """One row: the adjusted Rand index of two labellings of the same rows, from their contingency table; null
+    where chance leaves nothing to explain."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count(F.lit(1)).cast("double").alias("__n"))
 
     def pairs(x: Column) -> Column:
         return x * (x - 1) / 2
 
-    def within(*keys: str) -> Column:
-        return cells.groupBy(*keys).agg(F.sum("n").alias("x")).agg(F.sum(pairs(F.col("x")))).scalar()
+    def within(key: str) -> Column:
+        return cells.groupBy(key).agg(F.sum("__n").alias("__x")).agg(F.sum(pairs(F.col("__x")))).scalar()
 
-    one = cells.agg(F.sum(pairs(F.col("n"))).alias("cells"), pairs(F.sum("n")).alias("all"))
-    one = one.withColumns({"rows": within(a), "cols": within(b)})
-    chance = F.col("rows") * F.col("cols") / F.col("all")
+    one = cells.agg(F.sum(pairs(F.col("__n"))).alias("cells"), pairs(F.sum("__n")).alias("all"))
+    one = one.withColumns({"rows": within("__a"), "cols": within("__b")})
+    chance = F.try_divide(F.col("rows") * F.col("cols"), F.col("all"))
     return one.select(F.try_divide(F.col("cells") - chance, (F.col("rows") + F.col("cols")) / 2 - chance).alias("adjusted_rand"))
 
 

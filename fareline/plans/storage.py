@@ -135,7 +135,7 @@ def io_append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("table").cast("string").alias("table")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'R04' AS rule_id, count(*) AS n FROM passenger_counts WHERE boardings < 0 UNION ALL SELECT 'R06', count(*) FROM passenger_counts WHERE max_load > 400")
+@query("SELECT rule_id, count(*) AS n FROM (SELECT 'R04' AS rule_id FROM passenger_counts WHERE boardings < 0 UNION ALL SELECT 'R06' FROM passenger_counts WHERE max_load > 400) GROUP BY 1")
 def io_rule_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations in a directory per rule, found again by their directories."""
     path = scratch(spark)

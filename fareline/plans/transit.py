@@ -411,7 +411,7 @@ def an_passenger_segments(m: Mart) -> DataFrame:
 @statement
 def an_segment_summary(m: Mart) -> DataFrame:
     s = of(m, "an_passenger_segments")
-    g = s.groupBy("segment").agg(F.count(F.lit(1)).alias("passengers"), *[r(F.avg(c), 3).alias(c) for c in ("rides", "a_week", "peak", "km")], r(F.sum("stands_for"), 1).alias("stands_for"))
+    g = s.groupBy("segment").agg(F.count(F.lit(1)).alias("passengers"), *[r(F.avg(c), 8).alias(c) for c in ("rides", "a_week", "peak", "km")], r(F.sum("stands_for"), 2).alias("stands_for"))
     whole = Window.partitionBy()  # a row per segment
     g = g.withColumns({"part": r(F.col("passengers") / F.sum("passengers").over(whole)), "part_of_journeys": r(F.col("stands_for") / F.sum("stands_for").over(whole))})
     return g.join(most_frequent(s, ["segment"], "category", "main_category").drop("main_category_n"), "segment", "left")

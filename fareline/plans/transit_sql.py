@@ -271,6 +271,6 @@ SELECT *, round(early / nullif(arrived, 0), 4) AS early_share, round(on_time / n
     "an_passenger_segments": BASE + _SEGMENTS + " SELECT * FROM segments",
     "an_segment_summary": BASE + _SEGMENTS + """,
 c AS (SELECT segment, arg_min(category, (-n, category)) AS main_category FROM (SELECT segment, category, count(*) AS n FROM segments WHERE category IS NOT NULL GROUP BY ALL) GROUP BY 1),
-g AS (SELECT segment, count(*) AS passengers, round(avg(rides), 3) AS rides, round(avg(a_week), 3) AS a_week, round(avg(peak), 3) AS peak, round(avg(km), 3) AS km, round(sum(stands_for), 1) AS stands_for FROM segments GROUP BY 1)
+g AS (SELECT segment, count(*) AS passengers, round(avg(rides), 8) AS rides, round(avg(a_week), 8) AS a_week, round(avg(peak), 8) AS peak, round(avg(km), 8) AS km, round(sum(stands_for), 2) AS stands_for FROM segments GROUP BY 1)
 SELECT g.*, round(passengers / sum(passengers) OVER (), 4) AS part, round(stands_for / sum(stands_for) OVER (), 4) AS part_of_journeys, main_category FROM g LEFT JOIN c USING (segment)""",
 }
