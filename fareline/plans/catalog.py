@@ -17,7 +17,7 @@ from fareline.operators import ranks as R
 from fareline.operators import windows as W
 from fareline.plans.problem_sql import _LINES
 from fareline.plans.serving import View, filtered, ordered
-from fareline.session import table
+from fareline.session import stored, table
 from fareline.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,7 +572,7 @@ def _failed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fareline.plans.problems import parsed_records, split_failed
 
     failed = split_failed(parsed_records(spark, sf_dir)).select("record_id", "table_name", "reason").distinct()
-    return failed.join(table(spark, sf_dir, "raw_records").select("record_id", "raw_line").distinct(), "record_id")
+    return stored(failed.join(table(spark, sf_dir, "raw_records").select("record_id", "raw_line").distinct(), "record_id"))  # read per table and rule
 
 
 def _unparseable(spark: SparkSession, sf_dir: str, failed: DataFrame) -> DataFrame:
