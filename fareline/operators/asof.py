@@ -76,7 +76,7 @@ def _bucket_join(payload: Sequence[str], out: pa.Schema):
     return run
 
 
-def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, start: str, order: Sequence[str], payload: Sequence[str], end: str | None = None, known: str | None = None, max_rows: int = 250_000, hot: tuple[int, dict[str, int]] | None = None) -> DataFrame:
+def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, start: str, order: Sequence[str], payload: Sequence[str], end: str | None = None, known: str | None = None, max_rows: int = 250_000, hot: tuple[int, dict[str, int]] | None = None, most_versions: int | None = None) -> DataFrame:
     """Each event with the ``payload`` columns of the version in force at ``events[at]``.
 
     key: text column of both sides. at, start, end: bigint columns on one scale; a version is available from
@@ -84,7 +84,8 @@ def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, s
     tuple counts. known: name of an added boolean, whether the key has any version. Events with a null key or
     time get nulls; versions with a null key or start never apply. Empty inputs give empty or null results.
     Payload names must not occur among the events' columns (ValueError). ``hot``: the result of ``hot_keys`` for
-    the key, if it was counted before.
+    the key, if it was counted before; ``most_versions``: a proven bound of the versions, which spares their count
+    if no key can have over max_rows of them.
 
     Skew: entities with over max_rows events or versions are split into time shards at approximate quantiles of
     their own events and of the starts and ends of their versions. A version goes to the shards it begins and ends
@@ -98,7 +99,8 @@ def state_asof_join(events: DataFrame, versions: DataFrame, key: str, at: str, s
     v = versions.select(F.col(key).alias("__key"), F.col(start).alias("__start"), (F.col(end) if end else F.lit(None)).cast("long").alias("__end"), F.struct(*order).alias("__order"), *payload)
     v = v.where("__key is not null and __start is not null and (__end is null or __end > __start)")
     total, counts = hot or hot_keys(e, "__key", max_rows)
-    versions_total, versions_counts = hot_keys(v, "__key", max_rows)
+    few = most_versions is not None and most_versions <= max_rows
+    versions_total, versions_counts = (most_versions, {}) if few else hot_keys(v, "__key", max_rows)
     if not counts and not versions_counts:
         e, v = e.withColumn("__shard", F.lit(0)), v.withColumn("__shard", F.lit(0))
     else:

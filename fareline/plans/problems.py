@@ -55,7 +55,7 @@ def trips_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = checkpoint(events)  # read for the counts, the distances and the join
     by_line, by_carrier = hot_keys_of(events, ["line", "carrier"], MAX_ROWS)
     versions = schedules.select("line", F.col("schedule_id").alias("schedule_in_force"), "valid_from", F.unix_date("valid_from").cast("long").alias("start"), F.when(F.col("valid_to").isNotNull(), F.unix_date("valid_to").cast("long") + 1).alias("end"))
-    scheduled = state_asof_join(events, versions, "line", "day", "start", ["valid_from", "schedule_in_force"], ["schedule_in_force"], end="end", max_rows=MAX_ROWS, hot=by_line)
+    scheduled = state_asof_join(events, versions, "line", "day", "start", ["valid_from", "schedule_in_force"], ["schedule_in_force"], end="end", max_rows=MAX_ROWS, hot=by_line, most_versions=table(spark, sf_dir, "schedules").count())
     vehicles = table(spark, sf_dir, "vehicles").select("vehicle_id", "version_id", "capacity_total", "effective_from", "recorded_at").distinct()
     order = ["effective_from", "recorded_at", "version_id"]
     last = vehicles.groupBy("vehicle_id").agg(F.max_by("version_id", F.struct(*order)).alias("last_version"))
@@ -63,7 +63,7 @@ def trips_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = vehicles.join(last, "vehicle_id").join(lags, "vehicle_id")
     available = F.greatest(micros("recorded_at"), F.unix_micros(F.date_add("effective_from", F.col("lag")).cast("timestamp")))
     states = states.where("effective_from is not null and recorded_at is not null").select(text_key("vehicle_id", "lag").alias("carrier"), available.alias("start"), *order, F.col("version_id").alias("version_in_force"), "capacity_total", "last_version")
-    out = state_asof_join(scheduled, states, "carrier", "moment", "start", order, ["version_in_force", "capacity_total", "last_version"], known="vehicle_known", max_rows=MAX_ROWS, hot=by_carrier)
+    out = state_asof_join(scheduled, states, "carrier", "moment", "start", order, ["version_in_force", "capacity_total", "last_version"], known="vehicle_known", max_rows=MAX_ROWS, hot=by_carrier, most_versions=table(spark, sf_dir, "vehicles").count())  # of a carrier's key
     return out.select(*columns, "row_hash", "schedule_in_force", "version_in_force", "capacity_total", "last_version", F.col("line").isNotNull().alias("schedule_known"), "vehicle_known")
 
 
