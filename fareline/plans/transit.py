@@ -53,6 +53,13 @@ def p(value: str, share: float) -> Column:
     return F.percentile_approx(value, share, 10_000)
 
 
+def mean_ratio(a: str, b: str) -> Column:
+    """Mean of a / b over whole numbers, to 15 digits. Decimals are added, so it is the same in any order of the
+    rows and a mean on the border of two roundings stays on it; 0 in b and nulls count on neither side."""
+    each = F.try_divide(F.col(a).cast("decimal(28,18)"), F.col(b).cast("decimal(10,0)"))
+    return F.round(F.avg(each.cast("decimal(28,18)")), 15).cast("double")
+
+
 def hours() -> Column:
     return F.create_map([F.lit(x) for pair in HOURS.items() for x in pair])[F.col("period")]
 
@@ -207,15 +214,15 @@ def _supply(m: Mart) -> DataFrame:
     """Service and use by route, direction, day class and period: what the three statements on supply read."""
     share = E.share(F.col("band").isin(*OVER), F.col("band"))
     return m.trips.groupBy(*CELL).agg(
-        F.max("distance_km").alias("distance_km"), F.countDistinct("service_date").alias("days"), F.count(F.lit(1)).alias("trips"), n_if(F.col("ran")).alias("operated"), F.count("occupancy").alias("measured"), F.avg("occupancy").alias("occupancy"), p("occupancy", 0.9).alias("p90"),
+        F.max("distance_km").alias("distance_km"), F.countDistinct("service_date").alias("days"), F.count(F.lit(1)).alias("trips"), n_if(F.col("ran")).alias("operated"), F.count("occupancy").alias("measured"), mean_ratio("max_load", "capacity").alias("occupancy"), p("occupancy", 0.9).alias("p90"),
         F.avg("boardings").alias("per_trip"), share.alias("overload"), F.avg(F.col("peak").cast("double")).alias("peak_rate"), F.try_divide(F.sum("arrival_s"), F.count("arrival_s") * 60.0).alias("arrival_late"),
     )
 
 
 @statement
 def an_underutilized(m: Mart) -> DataFrame:
-    c = _supply(m).withColumns({"an_hour": F.col("operated") / (F.col("days") * hours()), "per_km": r(E.ratio(F.col("per_trip"), F.col("distance_km")), 6)})
-    middle = c.groupBy("period").agg(p("per_km", 0.5).alias("middle"))
+    c = _supply(m).withColumns({"an_hour": F.try_divide(F.col("operated"), F.col("days") * hours()), "per_km": r(E.ratio(F.col("per_trip"), F.col("distance_km")), 6)})
+    middle = c.groupBy("period").agg(F.expr("percentile_disc(0.5) within group (order by per_km)").alias("middle"))  # exact: of cells, not rows
     empty = (F.col("occupancy") < 0.3) & (F.col("p90") < 0.5) & (F.col("per_km") < F.col("middle"))
     state = F.when(F.col("measured") < 5, "unknown").when(empty & (F.col("an_hour") >= 0.1), "underused").when(empty, "rare_and_empty").otherwise("used")
     rounded = ("an_hour", "occupancy", "p90", "per_trip")
