@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareline.operators import quality as Q
-from fareline.plans.decisions import write_table
+from fareline.plans.decisions import embedded_database, read_embedded, write_embedded
 from fareline.plans.templates import Project, band_case
 from fareline.session import scratch, table
 from fareline.sources import readers as R
@@ -175,13 +174,13 @@ def io_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT route_id, distance_km, base_fare FROM routes WHERE route_id <> ''")
 def io_database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a database table replaced twice, its definition kept, and read back: in an embedded database in the
-    memory of a local session."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    """Rows of a database table replaced twice, its definition kept, and read back: in an embedded database of the
+    driver's process, so the rows pass through the driver, in a local session and on a cluster alike."""
     rows = table(spark, sf_dir, "routes").where("route_id != ''").select("route_id", "distance_km", "base_fare")
-    for part in (rows.limit(1), rows):
-        write_table(part, url, "routes", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
-    return spark.read.jdbc(url, "routes", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    with embedded_database(spark) as (url, properties):
+        for part in (rows.limit(1), rows):
+            write_embedded(part, url, "routes", properties)
+        return read_embedded(spark, url, "routes", properties)
 
 
 def p2_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
